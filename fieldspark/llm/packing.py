@@ -12,6 +12,8 @@ through a cache: the tokenizer drops white space and never joins across it, so t
 from __future__ import annotations
 
 import os
+from array import array
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -24,34 +26,93 @@ LENGTH, END = 2048, 1
 BITS, DIMS, GAIN = 16, 3, 4.0
 #: Sequences that a partition should hold at least, so that padding stays under a five-hundredth.
 SEQUENCES = 256
-#: Words whose ids a worker remembers at most.
+#: Words whose ids a worker remembers, in each of two generations: words in use outlive those met once.
 REMEMBERED = 400_000
+_PUNCTUATION = b".,;:!?#$%&*-+=/\\()[]{}|<>@^_`~\""
 
 _STATE: dict = {}
 
 
-def encoder(path: str):
-    """A function from texts to lists of id arrays; the tokenizer is loaded once for each worker."""
-    if path not in _STATE:
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies have for each byte: printable ones stand for themselves, others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Words(dict):
+    """Words' ids as bytes. A new word is taken from the older generation, put together from its parts, or encoded."""
+
+    def __init__(self, tokenizer, unit: str):
+        super().__init__()
+        self.tokenizer, self.unit, self.old = tokenizer, unit, {}
+        self.letters, self.model = _byte_letters(), tokenizer.model
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            core = word.rstrip(_PUNCTUATION)
+            if core and len(core) < len(word) and self._ends_in_letter(core):
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                ids = array(self.unit, self._encode(word)).tobytes()
+        self[word] = ids
+        return ids
+
+    @staticmethod
+    def _ends_in_letter(core: bytes) -> bool:
+        return core[-1:].isalnum() or core[-1] > 127 and normalize("NFC", core.decode("utf-8", "surrogatepass")).lower()[-1].isalpha()
+
+    def _encode(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "surrogatepass")
+        # a word of Latin letters is normal already and one run of letters: it goes to the merges at once
+        if max(text) < "\u0250" and (low := text.lower()).isalpha():
+            return [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+class Encoder:
+    """Ids of UTF-8 texts, word by word through a cache.
+
+    White space is dropped by the tokenizer and never joined across, and it lowers case itself, so equal words in lower
+    case have equal ids. A word's closing ASCII punctuation is a token run of its own after a letter or digit, so a new
+    word that ends in it is put together from its parts. Texts with the mark of a special token are encoded whole.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _STATE[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _STATE[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.unit = unit_of(self.tokenizer.get_vocab_size())
+        self.words = _Words(self.tokenizer, self.unit)
 
-    def encode(texts: list[str | None]) -> list[np.ndarray]:
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        new = list(set().union(*map(set, split)) - known.keys()) if split else []
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*map(set, split)))
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for word, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, w)), np.uint32) for w in split]
+    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        self.words.age()
+        get, out = self.words.__getitem__, []
+        for t in texts:
+            if t and b"<|" in t:
+                out.append(np.array(self.tokenizer.encode(t.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, self.unit))
+            else:
+                out.append(np.frombuffer(b"".join(map(get, t.lower().split())) if t else b"", self.unit))
+        return out
 
-    return encode
+
+def unit_of(size: int) -> str:
+    """The type that holds ids of a vocabulary, as of array and numpy."""
+    return "H" if size <= 1 << 16 else "I"
+
+
+def encoder(path: str) -> Encoder:
+    """The tokenizer is loaded once for each worker."""
+    if path not in _STATE:
+        _STATE[path] = Encoder(path)
+    return _STATE[path]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -82,27 +143,33 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def projections(ids: list[np.ndarray]) -> np.ndarray:
+def _signs(ids: int) -> np.ndarray:
+    """Hashed coordinates in (-1, 1) of the first ``ids`` ids."""
+    i = np.arange(ids, dtype=np.uint64)[:, None] * np.uint64(DIMS) + np.arange(DIMS, dtype=np.uint64)
+    return mix(i).astype(np.float64) / 2**63 - 1
+
+
+def projections(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
     """Mean hashed projection of each document's ids, as integer coordinates of the curve."""
-    flat = np.concatenate(ids).astype(np.uint64)
-    seen, place = np.unique(flat, return_inverse=True)
-    signs = np.stack([mix(seen * np.uint64(DIMS) + np.uint64(d)).astype(np.float64) / 2**63 - 1 for d in range(DIMS)], 1)
     n = np.array([len(i) for i in ids])
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    mean = np.add.reduceat(signs[place], start) / n[:, None]
+    mean = np.add.reduceat(signs[np.concatenate(ids)], start) / n[:, None]
     return np.minimum(((np.tanh(GAIN * mean) + 1) / 2 * 2**BITS).astype(np.int64), 2**BITS - 1)
 
 
 def tokenized(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """(doc_id, key, n, ids): little-endian unsigned 32-bit ids with the end token, and the Hilbert key."""
+    """(doc_id, key, n, ids): ids with the end token in the vocabulary's unit, and the Hilbert key."""
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        encode = encoder(path)
+        last = np.array([end], encode.unit)
+        signs = _signs(encode.tokenizer.get_vocab_size())
         for batch in sliced(batches, 512):
             if batch.num_rows:
-                ids = [np.append(i, np.uint32(end)) for i in encoder(path)(batch.column(1).to_pylist())]
-                key = hilbert(projections(ids), BITS)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())], schema=schema)
+                ids = [np.append(i, last) for i in encode(batch.column(1).cast(pa.binary()).to_pylist())]
+                key = hilbert(projections(ids, signs), BITS)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], schema=schema)
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, n long, ids binary")
 
@@ -123,8 +190,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, id_column: str = "doc
         sequence, at = TaskContext.get().partitionId() << 32, 0
         for batch in sliced(batches, 512):
             rows = []
-            for doc_id, n, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                start = 0
+            for doc_id, n, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                start, ids = 0, np.frombuffer(raw, unit_of(256 ** (len(raw) // n))).astype("<u4").tobytes()
                 while start < n:
                     take = min(n - start, length - at)
                     rows.append((doc_id, start, take, ids[4 * start : 4 * (start + take)], n, sequence, at))

@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Java pattern of the characters that separate words: space, tab, line feed, vertical tab, form feed, return.
 WORD_GAP = "[ \\t-\\r]+"
 
+#: Bytes of the Bloom filters that spare most rows the way through a shuffle: fixed, so their broadcast is bounded.
+BLOOM_BYTES = 1 << 22
+
 _OWN: list[tempfile.TemporaryDirectory] = []
 
 
@@ -155,3 +158,31 @@ def sliced(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def bloom(keys: DataFrame, column: str) -> bytes:
+    """A filter of a fixed size over a column of longs: no false negatives, and more false positives as it fills."""
+
+    def run(batches):
+        bits = np.zeros(BLOOM_BYTES, np.uint8)
+        for batch in batches:
+            k = mix(batch.column(0).drop_null().to_numpy().astype(np.int64).view(np.uint64))
+            for salt in (0, 32):
+                at = (k >> np.uint64(salt)) % np.uint64(BLOOM_BYTES * 8)
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
+
+    total = np.zeros(BLOOM_BYTES, np.uint8)
+    for row in keys.select(F.col(column).cast("long").alias("k")).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row.bits, np.uint8)
+    return total.tobytes()
+
+
+def maybe(bits: bytes, k: np.ndarray) -> np.ndarray:
+    held = np.frombuffer(bits, np.uint8)
+    k = mix(k.astype(np.int64).view(np.uint64))
+    out = np.ones(len(k), bool)
+    for salt in (0, 32):
+        at = (k >> np.uint64(salt)) % np.uint64(BLOOM_BYTES * 8)
+        out &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, blocks_of, exchange, fresh, mix, runs, sliced, split_blocks, stored
+from .common import block_count, bloom, blocks_of, exchange, fresh, maybe, mix, runs, sliced, split_blocks, stored
 from .linking import link, overlap
 from .ngram_join import _chunks
 
@@ -27,8 +27,6 @@ from .ngram_join import _chunks
 WIDTH, PERCENT, BANDS, ROWS = 7, 80, 10, 4
 BINS = BANDS * ROWS
 _CHUNK = "block int, payload binary"
-#: Bytes of the Bloom filter that spares most lines the way through the shuffle: fixed, so its broadcast is bounded.
-BLOOM_BYTES = 1 << 22
 
 
 def normal(line: str) -> str:
@@ -97,34 +95,6 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def bloom(keys: DataFrame, column: str) -> bytes:
-    """A filter of a fixed size over a column of longs: no false negatives, and more false positives as it fills."""
-
-    def run(batches):
-        bits = np.zeros(BLOOM_BYTES, np.uint8)
-        for batch in batches:
-            k = mix(batch.column(0).drop_null().to_numpy().astype(np.int64).view(np.uint64))
-            for salt in (0, 32):
-                at = (k >> np.uint64(salt)) % np.uint64(BLOOM_BYTES * 8)
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
-
-    total = np.zeros(BLOOM_BYTES, np.uint8)
-    for row in keys.select(F.col(column).cast("long").alias("k")).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row.bits, np.uint8)
-    return total.tobytes()
-
-
-def maybe(bits: bytes, k: np.ndarray) -> np.ndarray:
-    held = np.frombuffer(bits, np.uint8)
-    k = mix(k.astype(np.int64).view(np.uint64))
-    out = np.ones(len(k), bool)
-    for salt in (0, 32):
-        at = (k >> np.uint64(salt)) % np.uint64(BLOOM_BYTES * 8)
-        out &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
 def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, line, node), and (node, root) of the nodes with a link."""
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")

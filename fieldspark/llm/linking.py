@@ -36,7 +36,8 @@ def link(postings: DataFrame, sets: DataFrame, linked, possible) -> DataFrame:
     """(node, root) of nodes with a link.
 
     postings: (key, node, n, u, hub, hub_n, hub_u), lists of two nodes or more; ``possible(n1, u1, n2, u2)`` is the
-    bound as a Column: sizes n, and u members that no other node has.
+    bound as a Column: sizes n, and u members before the key in the node's own order, none of them shared if the
+    key is the first in common. A pair that is possible at any key must be so at its first.
     """
 
     def bound(x: str, y: str) -> Column:

@@ -7,8 +7,9 @@ row from the start (a row is named by a hash of its whole set), so exact copies
    of n n-grams with similarity t to another has at most n - ceil(t n) that the other lacks, so rows with more drop out.
 2. Over all n-grams of the rows left, columns are counted again. Each row keeps its rarest columns, up to that same
    bound and one more: two rows above the threshold meet in at least one of these (prefix filter, exact).
-3. Rows that meet are paired with the list's hub, then across components (``linking``), if their sizes and u leave
-   the threshold within reach; pairs left are verified by counting their whole overlap.
+3. Rows that meet are paired with the list's hub, then across components (``linking``), if their sizes and the places
+   of the column among their own, rarest first, leave the threshold within reach: at the first column in common, all
+   before it is not shared. Pairs left are verified by counting their whole overlap.
 
 Documents without words, and null texts, have an empty set and are linked with nothing. Rows with a null doc_id keep
 a null component and link nothing. Repeated doc_ids and equal texts share a component by their texts.
@@ -21,12 +22,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, blocks_of, exchange, runs, shingles, sliced, split_blocks, stored
+from .common import block_count, bloom, blocks_of, exchange, maybe, runs, shingles, sliced, split_blocks, stored
 from .linking import link, overlap
 
 WIDTH, PERCENT = 3, 90
 
 _POSTING = ("<u8", "<u8", "<u4", "<u4")  # n-gram, row, row's size, row's emitted n-grams (stage 1) or unused
+_NODE = ("<u8", "<u4", "<u4", "<u4")  # row, its size, its emitted n-grams, those that other rows have
 _CHUNK = "block int, payload binary"
 
 
@@ -111,14 +113,27 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
     rows = table.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
 
     def shared_counts(batches):
-        """Each row's n-grams in the block that other rows have too."""
+        """Each row's n-grams in the block that other rows have too, dealt out by row."""
         for h, node, (n, e), _ in _shared(batches, _POSTING):
-            k, at, c = np.unique(node, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(k)), pa.array(n[at].astype(np.int64)), pa.array(e[at].astype(np.int64)), pa.array(c.astype(np.int64))], names=["node", "n", "e", "m"])
+            if len(h):
+                k, at, c = np.unique(node, return_index=True, return_counts=True)
+                yield from _chunks(split_blocks((k % np.uint64(blocks)).astype(np.int64), k, n[at], e[at], c.astype(np.uint32)))
+
+    def survivors(batches):
+        for _, (node, n, e, c) in blocks_of(batches, *_NODE):
+            k, at, of = np.unique(node, return_index=True, return_inverse=True)
+            alone = e[at].astype(np.int64) - np.bincount(of, c).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(k[alone <= slack(n[at].astype(np.int64), percent)]))], names=["node"])
 
-    counts = exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(shared_counts, "node long, n long, e long, m long")
-    left = counts.groupBy("node").agg(F.max("n").alias("n"), F.max("e").alias("e"), F.sum("m").alias("m")).where(F.expr(f"e - m <= n - ceil(n * {percent} / 100)")).select("node")
+    by_row = exchange(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(shared_counts, _CHUNK), blocks)
+    left = by_row.mapInArrow(survivors, "node long")
     left = stored(rows.where("doc_id is not null").join(left, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "left")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(left, "doc_id"))
+
+    @F.pandas_udf("boolean")
+    def wanted(ids):
+        known = ids.notna()
+        return known & maybe(bits.value, ids.fillna(0).to_numpy())
 
     def second(batches):
         for batch in sliced(batches, 512):
@@ -129,7 +144,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
                     found[k] = s
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["node", "payload"])
 
-    sets = stored(base.join(left, "doc_id").select("node", "text").mapInArrow(second, "node long, payload binary").dropDuplicates(["node"]), "sets")
+    sets = stored(base.where(wanted("doc_id")).join(left, "doc_id").select("node", "text").mapInArrow(second, "node long, payload binary").dropDuplicates(["node"]), "sets")
 
     def all_postings(batches):
         for batch in sliced(batches, 2048):
@@ -151,15 +166,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
             may = slack(n[start], percent) + 1 - alone
             place = np.arange(len(node)) - np.repeat(start, length)
             keep = place < np.repeat(may, length)
-            u = np.repeat(alone, length)[keep].astype(np.uint32)
+            at = (np.repeat(alone, length) + place)[keep].astype(np.uint32)
             if keep.any():
-                yield from _chunks(split_blocks(_block(h[keep], blocks), h[keep], node[keep], n[keep].astype(np.uint32), u))
+                yield from _chunks(split_blocks(_block(h[keep], blocks), h[keep], node[keep], n[keep].astype(np.uint32), at))
 
     def lists(batches):
         for h, node, (n, u), _ in _shared(batches, _POSTING):
             if not len(h):
                 continue
-            order = np.lexsort((node, u, h))  # the hub has the fewest n-grams of its own: the middle of a group
+            order = np.lexsort((node, u, h))  # the hub has the fewest rarer n-grams: the middle of a group
             h, node, n, u = h[order], node[order], n[order], u[order]
             start, length = runs(h)
             hub = np.repeat(start, length)

@@ -20,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import block_count, bloom, blocks_of, exchange, fresh, maybe, mix, runs, sliced, split_blocks, stored
-from .linking import link, overlap
-from .ngram_join import _chunks
+from .linking import link
+from .ngram_join import alone
 
 #: Characters in a shingle, percent of Jaccard similarity, bands and MinHash values in a band.
 WIDTH, PERCENT, BANDS, ROWS = 7, 80, 10, 4
 BINS = BANDS * ROWS
-_CHUNK = "block int, payload binary"
+_A = np.uint64(0x9E3779B97F4A7C15)
+_A2 = np.uint64(0x9E3779B97F4A7C15**2 % 2**64)
 
 
 def normal(line: str) -> str:
@@ -37,50 +38,52 @@ def node_of(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def char_hashes(lines: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of all lines, one after another, and how many each line has (one at least)."""
-    flat = np.frombuffer("".join(x + "\0" * max(0, width - len(x)) for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    length = np.array([max(width, len(x)) for x in lines], np.int64)
-    acc = np.zeros(max(0, len(flat) - width + 1), np.uint64)
-    for i in range(width):
-        acc *= np.uint64(0x9E3779B97F4A7C15)
-        acc += flat[i : i + len(acc)]
-    count = length - width + 1
-    start = np.cumsum(length) - length
-    # windows that begin in a line's last width - 1 characters reach into the next line
+def char_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character shingles (WIDTH wide) of all lines, one after another, and how many each line has (one at least)."""
+    flat = np.frombuffer("".join(x if len(x) >= WIDTH else x.ljust(WIDTH, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.maximum(WIDTH, np.fromiter(map(len, lines), np.int64, len(lines)))
+    # a polynomial over seven characters, by doubling: two, four, six, seven
+    two = flat[:-1] * _A + flat[1:]
+    four = two[:-2] * _A2 + two[2:]
+    acc = (four[:-3] * _A2 + two[4:-1]) * _A + flat[6:]
+    # windows that begin in a line's last characters reach into the next line
     keep = np.ones(len(acc), bool)
-    for i in range(width - 1):
-        at = start + length - 1 - i
-        keep[at[at < len(acc)]] = False
-    return mix(acc[keep]), count
+    end = np.cumsum(length)[:-1]
+    for i in range(1, WIDTH):
+        keep[end - i] = False
+    return mix(acc[keep]), length - WIDTH + 1
 
 
-def shingle_set(line: str, width: int = WIDTH) -> np.ndarray:
-    return np.unique(char_hashes([line], width)[0])
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each line."""
+    if not lines:
+        return []
+    h, count = char_hashes(lines)
+    return [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])]
 
 
 def signatures(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     """One-permutation MinHash, (lines, BINS)."""
     m = len(count)
-    sig = np.full(m * BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    slot = np.repeat(np.arange(m, dtype=np.int64) * BINS, count) + (h % np.uint64(BINS)).astype(np.int64)
-    np.minimum.at(sig, slot, h)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    sig = np.full(m * BINS, none, np.uint64)
+    slot = np.repeat(np.arange(m, dtype=np.int64) * BINS, count)
+    slot += (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(sig, slot, mix(h))
     sig = sig.reshape(m, BINS)
-    empty = sig == np.uint64(0xFFFFFFFFFFFFFFFF)
     # an empty bin tries others in a walk of its own, the same for all lines, until it meets a filled one
+    rows = np.flatnonzero((sig == none).any(1))
+    base, out = sig[rows], sig[rows].copy()
+    empty = out == none
     k = 0
     while empty.any():
         k += 1
-        if k < 4 * BINS:
-            donor = (mix(np.arange(BINS, dtype=np.uint64) * np.uint64(1000003) + np.uint64(k)) % np.uint64(BINS)).astype(np.int64)
-        else:
-            donor = (np.arange(BINS) + k) % BINS
-        got = (sig if k == 1 else base)[:, donor]
-        if k == 1:
-            base = sig.copy()
-        fill = empty & (got != np.uint64(0xFFFFFFFFFFFFFFFF))
-        sig = np.where(fill, got + np.uint64(k), sig)
+        donor = (mix(np.arange(BINS, dtype=np.uint64) * np.uint64(1000003) + np.uint64(k)) % np.uint64(BINS)).astype(np.int64) if k < 4 * BINS else (np.arange(BINS) + k) % BINS
+        got = base[:, donor]
+        fill = empty & (got != none)
+        out = np.where(fill, got + np.uint64(k), out)
         empty &= ~fill
+    sig[rows] = out
     return sig
 
 
@@ -111,14 +114,11 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
                         places.append(at)
                         nodes.append(k)
                         distinct.setdefault(k, line)
-            chunks: list[tuple[int, bytes]] = []
             names = list(distinct)
-            for part in _parts(names, distinct):
-                h, count = char_hashes([distinct[k] for k in part])
-                keys = band_keys(signatures(h, count)).ravel()
-                node = np.repeat(np.array(part, np.int64), BANDS)
-                n = np.repeat(np.minimum(count, 0xFFFFFFFF).astype(np.uint32), BANDS)
-                chunks += split_blocks(((keys >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), keys, node, n)
+            keys = [band_keys(signatures(*char_hashes([distinct[k] for k in part]))) for part in _parts(names, distinct)]
+            keys = np.concatenate(keys).ravel() if keys else np.empty(0, np.uint64)
+            node = np.repeat(np.array(names, np.int64), BANDS)
+            chunks = list(split_blocks(((keys >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), keys, node))
             m, k = len(ids), len(chunks)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids + [None] * k, pa.int64()), pa.array(places + [None] * k, pa.int32()), pa.array(nodes + [None] * k, pa.int64()), pa.array([None] * m + [b for b, _ in chunks], pa.int32()), pa.array([None] * m + [p for _, p in chunks], pa.binary())],
@@ -129,21 +129,18 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
     lines = table.where("node is not null").select("doc_id", "line", "node")
 
     def lists(batches):
-        for _, (key, node, n) in blocks_of(batches, "<u8", "<i8", "<u4"):
+        for _, (key, node) in blocks_of(batches, "<u8", "<i8"):
             order = np.lexsort((node, key))
-            key, node, n = key[order], node[order], n[order].astype(np.int64)
+            key, node = key[order], node[order]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-            key, node, n = key[new], node[new], n[new]
+            key, node = key[new], node[new]
             _, length = runs(key)
             keep = np.repeat(length, length) > 1
-            key, node, n = key[keep], node[keep], n[keep]
-            start, length = runs(key)
-            hub = np.repeat(start, length)
-            cols = [key.view(np.int64), node, n, np.zeros(len(n), np.int64), node[hub], n[hub], np.zeros(len(n), np.int64)]
+            key, node = key[keep].view(np.int64), node[keep]
             for a in range(0, len(key), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 65536]) for c in cols], names=["key", "node", "n", "u", "hub", "hub_n", "hub_u"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 65536]), pa.array(node[a : a + 65536])], names=["key", "node"])
 
-    postings = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(lists, "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
+    postings = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(lists, "key long, node long"), "lists")
     nodes = postings.select("node").distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bloom(nodes, "node"))
 
@@ -162,16 +159,25 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
     sets = base.select("text").mapInArrow(wanted, "node long, payload string").groupBy("node").agg(F.min("payload").alias("payload"))
     sets = stored(sets.join(nodes, "node", "left_semi"), "candidates")
 
-    def linked(a: str, b: str) -> bool:
-        x, y = shingle_set(a), shingle_set(b)
-        i = overlap(x, y)
-        return 100 * i >= percent * (len(x) + len(y) - i)
+    def refine(rest: DataFrame) -> DataFrame:
+        return alone(rest, shingle_sets, blocks)
 
-    # shingles may repeat within a line, so its size bounds the set only from above: no pair is ruled out by sizes
-    return lines, link(postings, sets, linked, lambda n1, u1, n2, u2: F.lit(True))
+    return lines, link(_with_hubs(postings), sets, shingle_sets, percent, refine)
 
 
-def _parts(names: list[int], lines: dict[int, str], most: int = 1 << 20):
+def _with_hubs(postings: DataFrame) -> DataFrame:
+    """Each list's hub: its node with the most neighbours over all lists, the middle of a group; ties to the least name."""
+    length = postings.groupBy("key").agg(F.count("*").alias("length"))
+    p = postings.join(length, "key")
+    p = p.join(p.groupBy("node").agg(F.sum("length").alias("near")), "node")
+    p = stored(p.select("key", "node", "near"), "near")
+    hubs = p.groupBy("key").agg(F.max(F.struct(F.col("near"), (-F.col("node")).alias("first"), F.col("node").alias("hub")))["hub"].alias("hub"))
+    # sizes are known for nodes that need them only, so the hub's bound is open here
+    zero = F.lit(0).cast("long")
+    return stored(p.join(hubs, "key").select("key", "node", zero.alias("n"), zero.alias("u"), "hub", zero.alias("hub_n"), zero.alias("hub_u")), "hubs")
+
+
+def _parts(names: list[int], lines: dict[int, str], most: int = 1 << 16):
     """Lines in groups of about ``most`` characters."""
     held, size = [], 0
     for k in names:
@@ -210,7 +216,8 @@ def marked(docs: DataFrame, percent: int, id_column: str, text: str, gone: str,
 
         return texts.combine(gones, one)
 
-    joined = docs.join(table.select(F.col("doc_id").alias(key), F.col("gone").alias(gone)), F.col(id_column).cast("long") == F.col(key), "left").drop(key)
+    # the table grows with the corpus, so it is merged at every size and never broadcast
+    joined = docs.join(table.select(F.col("doc_id").alias(key), F.col("gone").alias(gone)).hint("merge"), F.col(id_column).cast("long") == F.col(key), "left").drop(key)
     return joined.withColumn(out, F.when(F.col(gone).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(gone))))
 
 

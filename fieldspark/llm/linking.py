@@ -1,9 +1,10 @@
 """From posting lists to components: hub pairs first, then only pairs between what is still apart.
 
 A posting list (all nodes with one key) of m nodes has m * m / 2 pairs. Instead, each node is first compared with its
-list's hub alone, and verified links are contracted. Only lists that still hold two components give further pairs,
-and of these only the pairs between components that meet the bound, so a group of near copies costs a number of
-comparisons in proportion to its size, and yet no link between nodes in one list is lost.
+list's hub alone, and verified links are contracted. Only lists that still hold two components give further pairs, and
+of these only the pairs between components that meet the bound. Lists longer than ``LIST`` are cut into blocks; a task
+multiplies two blocks' rows by their members, accumulating overlaps over blocks of columns, and returns no more links
+than join components. So no list gives rows in proportion to its square, and no link between nodes in one list is lost.
 """
 
 from __future__ import annotations
@@ -15,9 +16,50 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import sliced, stored
 from .components import components
 
+#: Nodes in a list, and in a block of a longer list; columns multiplied at once.
+LIST, COLUMNS = 256, 4096
 
-def verified(pairs: DataFrame, sets: DataFrame, linked) -> DataFrame:
-    """The pairs (a, b) for which ``linked(payload_a, payload_b)``; ``sets`` has (node, payload)."""
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Members that two sorted sets of distinct values share."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``percent`` or more."""
+    i = overlap(x, y)
+    return 100 * i >= percent * (len(x) + len(y) - i)
+
+
+def reachable(percent: int, n1: Column, u1: Column, n2: Column, u2: Column) -> Column:
+    """The bound: from sizes and members known not to be shared, the largest overlap and so the similarity."""
+    most = F.least(n1 - u1, n2 - u2)
+    return 100 * most >= percent * (n1 + n2 - most)
+
+
+def overlaps(rows: list[np.ndarray]) -> np.ndarray:
+    """The product of the rows by members matrix with its transpose, over blocks of the columns that two rows have."""
+    flat = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    row, column = row[keep], column[keep]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(rows), COLUMNS), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        total += m @ m.T
+    return total.astype(np.int64)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, members, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; ``sets`` has (node, payload), ``members`` gives the sorted sets of a list of payloads."""
     held = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("payload").alias("pa")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("payload").alias("pb")), "b").select("a", "b", "pa", "pb")
@@ -25,42 +67,78 @@ def verified(pairs: DataFrame, sets: DataFrame, linked) -> DataFrame:
 
     def run(batches):
         for batch in sliced(batches, 256):
-            keep = [linked(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            mask = pa.array(keep, pa.bool_())
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            names = list(dict.fromkeys(a + b))
+            own = dict(zip(names, members(names), strict=True))
+            mask = pa.array([similar(own[x], own[y], percent) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return held.mapInArrow(run, "a long, b long")
 
 
-def link(postings: DataFrame, sets: DataFrame, linked, possible) -> DataFrame:
+def _long_lists(rest: DataFrame, sets: DataFrame, members, percent: int) -> DataFrame:
+    """Links (a, b) that join components within lists longer than LIST; ``rest`` has (key, m, node, root)."""
+    own = rest.where(F.col("m") > LIST).withColumn("k", F.ceil(F.col("m") / LIST).cast("int")).withColumn("i", F.pmod(F.xxhash64("node", "key"), F.col("k")).cast("int"))
+    dealt = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "node", "root")
+
+    def block(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
+        a, b = [], []
+        if len(set(root)) > 1:
+            rows = members(table.column("payload").to_pylist())
+            n = np.array([len(r) for r in rows])
+            both = overlaps(rows)
+            names, at = np.unique(root, return_inverse=True)
+            linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (at[:, None] < at[None, :])
+            up = list(range(len(names)))
+
+            def find(x: int) -> int:
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            for x, y in np.argwhere(linked).tolist():
+                p, q = find(at[x]), find(at[y])
+                if p != q:
+                    up[p] = q
+                    a.append(node[x])
+                    b.append(node[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(block, "a long, b long")
+
+
+def link(postings: DataFrame, sets: DataFrame, members, percent: int, refine=None) -> DataFrame:
     """(node, root) of nodes with a link.
 
-    postings: (key, node, n, u, hub, hub_n, hub_u), lists of two nodes or more; ``possible(n1, u1, n2, u2)`` is the
-    bound as a Column: sizes n, and u members before the key in the node's own order, none of them shared if the
-    key is the first in common. A pair that is possible at any key must be so at its first.
+    postings: (key, node, n, u, hub, hub_n, hub_u), lists of two nodes or more, with sizes n, and u members before the
+    key in the node's own order, none of them shared if the key is the first in common. A pair that is possible at any
+    key must be so at its first. ``refine`` may give sharper (node, n, u) for the nodes whose lists still hold two
+    components.
     """
 
     def bound(x: str, y: str) -> Column:
-        return possible(F.col(f"{x}n"), F.col(f"{x}u"), F.col(f"{y}n"), F.col(f"{y}u"))
+        return reachable(percent, F.col(f"{x}n"), F.col(f"{x}u"), F.col(f"{y}n"), F.col(f"{y}u"))
 
     star = postings.where("node <> hub").where(bound("", "hub_")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(verified(star, sets, linked), "star")
+    links = stored(verified(star, sets, members, percent), "star")
     roots = stored(components(links), "roots")
 
     p = postings.select("key", "node", "n", "u", "hub")
     p = p.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     p = stored(p, "apart")
-    apart = p.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = p.join(apart, "key", "left_semi")
-    x = rest.select("key", F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("u").alias("x_u"), F.col("root").alias("x_root"), "hub")
-    y = rest.select("key", F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("u").alias("y_u"), F.col("root").alias("y_root"))
+    apart = p.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    rest = p.join(apart, "key")
+    if refine:
+        rest = stored(rest, "rest")
+        rest = rest.drop("n", "u").join(stored(refine(sets.join(rest.select("node").distinct(), "node", "left_semi")), "refined"), "node")
+    rest = stored(rest, "rest")
+    short = rest.where(F.col("m") <= LIST)
+    x = short.select("key", F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("u").alias("x_u"), F.col("root").alias("x_root"), "hub")
+    y = short.select("key", F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("u").alias("y_u"), F.col("root").alias("y_root"))
     cross = x.join(y, "key").where("a < b and x_root <> y_root and a <> hub and b <> hub").where(bound("x_", "y_")).select("a", "b").distinct()
-    more = stored(verified(cross, sets, linked), "cross")
+    more = verified(cross, sets, members, percent).unionByName(_long_lists(rest, sets, members, percent))
+    more = stored(more, "cross")
     return components(links.unionByName(more)) if more.limit(1).count() else roots
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Members that two sorted sets of distinct values share."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())

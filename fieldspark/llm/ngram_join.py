@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import block_count, bloom, blocks_of, exchange, maybe, runs, shingles, sliced, split_blocks, stored
-from .linking import link, overlap
+from .linking import link
 
 WIDTH, PERCENT = 3, 90
 
@@ -74,6 +74,40 @@ def _shared(batches, dtypes):
         yield h[keep], node[keep], [m[keep] for m in more], count[keep]
 
 
+def _shared_counts(blocks: int):
+    """From chunks dealt out by column: each row's n-grams in a block that other rows have too, dealt out by row."""
+
+    def run(batches):
+        for h, node, (n, e), _ in _shared(batches, _POSTING):
+            if len(h):
+                k, at, c = np.unique(node, return_index=True, return_counts=True)
+                yield from _chunks(split_blocks((k % np.uint64(blocks)).astype(np.int64), k, n[at], e[at], c.astype(np.uint32)))
+
+    return run
+
+
+def _alone(batches):
+    """For each block of rows: the rows with a shared n-gram, their sizes, and the emitted n-grams that no other row has."""
+    for _, (node, n, e, c) in blocks_of(batches, *_NODE):
+        k, at, of = np.unique(node, return_index=True, return_inverse=True)
+        yield k, n[at].astype(np.int64), e[at].astype(np.int64) - np.bincount(of, c).astype(np.int64)
+
+
+def alone(sets: DataFrame, members, blocks: int) -> DataFrame:
+    """(node, n, u) of sets (node, payload) that share any member: the size, and members that no other set has. ``members`` gives the hashes of a list of payloads."""
+
+    def postings(batches):
+        for batch in sliced(batches, 1024):
+            yield from _chunks(_emit(dict(zip(batch.column(0).to_pylist(), members(batch.column(1).to_pylist()), strict=True)), lambda s: s, blocks))
+
+    def counted(batches):
+        for node, n, u in _alone(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(node)), pa.array(n), pa.array(u)], names=["node", "n", "u"])
+
+    by_column = exchange(sets.select("node", "payload").mapInArrow(postings, _CHUNK), blocks)
+    return exchange(by_column.mapInArrow(_shared_counts(blocks), _CHUNK), blocks).mapInArrow(counted, "node long, n long, u long")
+
+
 def _signed(node: np.ndarray) -> np.ndarray:
     return (node ^ np.uint64(1 << 63)).view(np.int64)
 
@@ -93,7 +127,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
         return np.concatenate([s[own], s[~own][:lack]]) if lack > 0 else s[own]
 
     def first(batches):
-        for batch in sliced(batches, 2048):
+        for batch in sliced(batches, 1024):
             ids, nodes, sizes, sets = batch.column(0).to_pylist(), [], [], {}
             for i, t in zip(ids, batch.column(1), strict=True):
                 s = shingles(t.as_py(), width)
@@ -112,20 +146,11 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
     table = stored(base.mapInArrow(first, "doc_id long, node long, n_shingles long, block int, payload binary"), "incidence")
     rows = table.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
 
-    def shared_counts(batches):
-        """Each row's n-grams in the block that other rows have too, dealt out by row."""
-        for h, node, (n, e), _ in _shared(batches, _POSTING):
-            if len(h):
-                k, at, c = np.unique(node, return_index=True, return_counts=True)
-                yield from _chunks(split_blocks((k % np.uint64(blocks)).astype(np.int64), k, n[at], e[at], c.astype(np.uint32)))
-
     def survivors(batches):
-        for _, (node, n, e, c) in blocks_of(batches, *_NODE):
-            k, at, of = np.unique(node, return_index=True, return_inverse=True)
-            alone = e[at].astype(np.int64) - np.bincount(of, c).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(k[alone <= slack(n[at].astype(np.int64), percent)]))], names=["node"])
+        for node, n, alone in _alone(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(node[alone <= slack(n, percent)]))], names=["node"])
 
-    by_row = exchange(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(shared_counts, _CHUNK), blocks)
+    by_row = exchange(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(_shared_counts(blocks), _CHUNK), blocks)
     left = by_row.mapInArrow(survivors, "node long")
     left = stored(rows.where("doc_id is not null").join(left, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "left")
     bits = docs.sparkSession.sparkContext.broadcast(bloom(left, "doc_id"))
@@ -187,16 +212,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
     meeting = exchange(by_row.mapInArrow(prefixes, _CHUNK), blocks)
     postings = stored(meeting.mapInArrow(lists, "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
 
-    def linked(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        i = overlap(x, y)
-        return 100 * i >= percent * (len(x) + len(y) - i)
-
-    def possible(n1, u1, n2, u2):
-        most = F.least(n1 - u1, n2 - u2)
-        return 100 * most >= percent * (n1 + n2 - most)
+    def members(payloads: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(p, np.uint64) for p in payloads]
 
-    return rows, link(postings, sets, linked, possible)
+    return rows, link(postings, sets, members, percent)
 
 
 def _chunks(pairs):

@@ -25,8 +25,8 @@ from .common import WORD_GAP, fresh, stored
 
 #: Labelled rows that the classifier is fitted on at most; hash buckets; words after which evidence counts no further.
 TRAIN_ROWS, BUCKETS, EVIDENCE = 4096, 4096, 32
-#: Pull of the rates towards 1, relative residual that ends the iteration, iterations at most.
-MU, TOLERANCE, ITERATIONS = 1e-5, 1e-4, 60
+#: Pull of the rates towards 1; relative residual, or change of it, that ends the iteration; iterations at most.
+MU, TOLERANCE, ITERATIONS = 1e-5, 1e-4, 24
 #: Default targets are shares to this power: below 1 it lifts rare domains.
 FLATTEN = 0.7
 
@@ -119,11 +119,13 @@ def fit_rates(scored: DataFrame, domains: list[str], n: str, p: str, weights: di
     total = whole if not floor else whole * max(floor * s / w for s, w in zip(share, want, strict=True) if w)
     targets = [w * total for w in want]
     history: list[list[float]] = []
-    fitted = now
+    fitted, last = now, [math.inf] * k
     for _ in range(ITERATIONS):
         residual = [(f - t) / (whole * s) if s else 0.0 for f, t, s in zip(fitted, targets, share, strict=True)]
-        if max(abs(r) for r in residual) < TOLERANCE:
+        # at the floor some targets may be out of reach: then the residual stays, and a step changes it no more
+        if max(abs(r) for r in residual) < TOLERANCE or max(abs(r - q) for r, q in zip(residual, last, strict=True)) < TOLERANCE:
             break
+        last = residual
         history.append(residual)
         fitted = totals(_rate(F.col(p), history, floor))
     return _rate(F.col(p), history, floor), {"domains": domains, "tokens": now, "targets": targets, "fitted": fitted, "iterations": len(history)}

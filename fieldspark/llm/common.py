@@ -109,10 +109,20 @@ def unpack(payload: bytes, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
+def repeated(key: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """The rows whose key stands more than once, sorted by key; a first sort by the key alone spares the others any more."""
+    order = np.argsort(key)
+    _, length = runs(key[order])
+    keep = order[np.repeat(length, length) > 1]
+    return [key[keep], *(c[keep] for c in columns)]
+
+
 def split_blocks(block: np.ndarray, *columns: np.ndarray):
     """(block, payload) for each block that has rows."""
+    if len(block) and block.max() < 1 << 16:
+        block = block.astype(np.uint16)  # sorted by radix
     order = np.argsort(block, kind="stable")
-    block = block[order]
+    block = block[order].astype(np.int64)
     columns = [c[order] for c in columns]
     edges = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip([0, *edges], [*edges, len(block)], strict=True):

@@ -2,8 +2,8 @@
 
 Each pass points every node's larger (then smaller) neighbours at the least node around it. Minima are grouped with
 partial aggregation and joined back, so a hub with any number of neighbours is split by adaptive skew joins and never
-gathered. Each pass is written to the shared folder, which cuts the lineage; the loop ends when a pass changes nothing,
-which takes a number of passes logarithmic in the longest path.
+gathered. Each pass is written to the shared folder, which cuts the lineage; the loop ends when all edges
+are stars around roots, after a number of passes logarithmic in the longest path.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def _pass(e: DataFrame) -> DataFrame:
     """One large-star, then one small-star, on edges (u, v) with v < u."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    large = _towards(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = _towards(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     # large holds v < u; now each node's smaller neighbours, and the node, go to the least of them
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     moved = _towards(large, least)
@@ -29,19 +29,16 @@ def _pass(e: DataFrame) -> DataFrame:
     return small.distinct()
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_stars(e: DataFrame) -> bool:
+    """Whether every edge leads to a root: no target is a source too, and each source has one target."""
+    sources = e.groupBy("u").agg(F.count("*").alias("n"))
+    return not sources.where("n > 1").limit(1).count() and not e.select(F.col("v").alias("u")).distinct().join(sources, "u", "left_semi").limit(1).count()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node in ``links``; the root is its component's least node. Loops, nulls and repeats in ``links`` count for nothing."""
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e = stored(e, "links")
-    was = _state(e)
-    while True:
+    while not _is_stars(e):
         e = stored(_pass(e), "links")
-        now = _state(e)
-        if now == was:
-            break
-        was = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -19,9 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, bloom, blocks_of, exchange, fresh, maybe, mix, runs, sliced, split_blocks, stored
+from .common import block_count, bloom, blocks_of, exchange, fresh, maybe, mix, repeated, runs, sliced, split_blocks, stored
 from .linking import link
-from .ngram_join import alone
 
 #: Characters in a shingle, percent of Jaccard similarity, bands and MinHash values in a band.
 WIDTH, PERCENT, BANDS, ROWS = 7, 80, 10, 4
@@ -31,7 +30,9 @@ _A2 = np.uint64(0x9E3779B97F4A7C15**2 % 2**64)
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    low = line.lower().strip()
+    # only a space is both white space and printable, so such a line has no other
+    return low if low.isprintable() and "  " not in low else " ".join(low.split())
 
 
 def node_of(line: str) -> int:
@@ -115,8 +116,8 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
                         nodes.append(k)
                         distinct.setdefault(k, line)
             names = list(distinct)
-            keys = [band_keys(signatures(*char_hashes([distinct[k] for k in part]))) for part in _parts(names, distinct)]
-            keys = np.concatenate(keys).ravel() if keys else np.empty(0, np.uint64)
+            sig = [signatures(*char_hashes([distinct[k] for k in part])) for part in _parts(names, distinct)]
+            keys = band_keys(np.concatenate(sig)).ravel() if sig else np.empty(0, np.uint64)
             node = np.repeat(np.array(names, np.int64), BANDS)
             chunks = list(split_blocks(((keys >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), keys, node))
             m, k = len(ids), len(chunks)
@@ -130,17 +131,24 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
 
     def lists(batches):
         for _, (key, node) in blocks_of(batches, "<u8", "<i8"):
+            key, node = repeated(key, node)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))) if len(key) else np.empty(0, np.int64)
+            often = np.diff(np.append(new, len(key)))  # batches that hold the line
             key, node = key[new], node[new]
-            _, length = runs(key)
+            # the hub is the line met most often, the middle of a group; ties to the least name
+            order = np.lexsort((node, -often, key))
+            key, node = key[order], node[order]
+            start, length = runs(key)
+            hub = node[np.repeat(start, length)]
             keep = np.repeat(length, length) > 1
-            key, node = key[keep].view(np.int64), node[keep]
-            for a in range(0, len(key), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 65536]), pa.array(node[a : a + 65536])], names=["key", "node"])
+            zero = np.zeros(int(keep.sum()), np.int64)
+            cols = [key[keep].view(np.int64), node[keep], zero, zero, hub[keep], zero, zero]
+            for at in range(0, len(zero), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536]) for c in cols], names=["key", "node", "n", "u", "hub", "hub_n", "hub_u"])
 
-    postings = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(lists, "key long, node long"), "lists")
+    postings = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(lists, "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
     nodes = postings.select("node").distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bloom(nodes, "node"))
 
@@ -159,22 +167,8 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
     sets = base.select("text").mapInArrow(wanted, "node long, payload string").groupBy("node").agg(F.min("payload").alias("payload"))
     sets = stored(sets.join(nodes, "node", "left_semi"), "candidates")
 
-    def refine(rest: DataFrame) -> DataFrame:
-        return alone(rest, shingle_sets, blocks)
-
-    return lines, link(_with_hubs(postings), sets, shingle_sets, percent, refine)
-
-
-def _with_hubs(postings: DataFrame) -> DataFrame:
-    """Each list's hub: its node with the most neighbours over all lists, the middle of a group; ties to the least name."""
-    length = postings.groupBy("key").agg(F.count("*").alias("length"))
-    p = postings.join(length, "key")
-    p = p.join(p.groupBy("node").agg(F.sum("length").alias("near")), "node")
-    p = stored(p.select("key", "node", "near"), "near")
-    hubs = p.groupBy("key").agg(F.max(F.struct(F.col("near"), (-F.col("node")).alias("first"), F.col("node").alias("hub")))["hub"].alias("hub"))
-    # sizes are known for nodes that need them only, so the hub's bound is open here
-    zero = F.lit(0).cast("long")
-    return stored(p.join(hubs, "key").select("key", "node", zero.alias("n"), zero.alias("u"), "hub", zero.alias("hub_n"), zero.alias("hub_u")), "hubs")
+    # distinct shingles are not counted beforehand, so sizes bound nothing here and every pair is verified
+    return lines, link(postings, sets, shingle_sets, percent)
 
 
 def _parts(names: list[int], lines: dict[int, str], most: int = 1 << 16):
@@ -196,8 +190,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc
     # only nodes that stand twice or have a link can lose a line
     lines = lines.join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
     lines = stored(lines, "rooted")
-    first = lines.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).where("n > 1").select("root", "first")
-    gone = lines.join(first, "root").where("doc_id <> first.doc_id or line <> first.line")
+    # (doc_id, line) as one number, as hash aggregation takes the least of a number and not of a struct
+    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    lines = lines.withColumn("place", place)
+    first = lines.groupBy("root").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("root", "first")
+    gone = lines.join(first, "root").where("place <> first")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 

@@ -66,7 +66,7 @@ def verified(pairs: DataFrame, sets: DataFrame, members, percent: int) -> DataFr
     )
 
     def run(batches):
-        for batch in sliced(batches, 256):
+        for batch in sliced(batches, 512):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             names = list(dict.fromkeys(a + b))
             own = dict(zip(names, members(names), strict=True))
@@ -110,13 +110,12 @@ def _long_lists(rest: DataFrame, sets: DataFrame, members, percent: int) -> Data
     return dealt.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(block, "a long, b long")
 
 
-def link(postings: DataFrame, sets: DataFrame, members, percent: int, refine=None) -> DataFrame:
+def link(postings: DataFrame, sets: DataFrame, members, percent: int) -> DataFrame:
     """(node, root) of nodes with a link.
 
     postings: (key, node, n, u, hub, hub_n, hub_u), lists of two nodes or more, with sizes n, and u members before the
     key in the node's own order, none of them shared if the key is the first in common. A pair that is possible at any
-    key must be so at its first. ``refine`` may give sharper (node, n, u) for the nodes whose lists still hold two
-    components.
+    key must be so at its first. With all sizes 0, nothing is ruled out.
     """
 
     def bound(x: str, y: str) -> Column:
@@ -131,9 +130,6 @@ def link(postings: DataFrame, sets: DataFrame, members, percent: int, refine=Non
     p = stored(p, "apart")
     apart = p.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
     rest = p.join(apart, "key")
-    if refine:
-        rest = stored(rest, "rest")
-        rest = rest.drop("n", "u").join(stored(refine(sets.join(rest.select("node").distinct(), "node", "left_semi")), "refined"), "node")
     rest = stored(rest, "rest")
     short = rest.where(F.col("m") <= LIST)
     x = short.select("key", F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("u").alias("x_u"), F.col("root").alias("x_root"), "hub")
@@ -141,4 +137,11 @@ def link(postings: DataFrame, sets: DataFrame, members, percent: int, refine=Non
     cross = x.join(y, "key").where("a < b and x_root <> y_root and a <> hub and b <> hub").where(bound("x_", "y_")).select("a", "b").distinct()
     more = verified(cross, sets, members, percent).unionByName(_long_lists(rest, sets, members, percent))
     more = stored(more, "cross")
-    return components(links.unionByName(more)) if more.limit(1).count() else roots
+    if not more.limit(1).count():
+        return roots
+    # contract what the hubs have found: only roots and nodes without a link are joined anew
+    for x in ("a", "b"):
+        more = more.join(roots.select(F.col("node").alias(x), F.col("root").alias("r")), x, "left").withColumn(x, F.coalesce("r", x)).drop("r")
+    moved = stored(components(more).select(F.col("node").alias("root"), F.col("root").alias("least")), "moved")
+    own = moved.join(roots, "root", "left_anti").select(F.col("root").alias("node"), F.col("least").alias("root"))
+    return roots.join(moved, "root", "left").select("node", F.coalesce("least", "root").alias("root")).unionByName(own)

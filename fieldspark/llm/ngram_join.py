@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, bloom, blocks_of, exchange, maybe, runs, shingles, sliced, split_blocks, stored
+from .common import block_count, bloom, blocks_of, exchange, maybe, repeated, runs, shingles, sliced, split_blocks, stored
 from .linking import link
 
 WIDTH, PERCENT = 3, 90
@@ -63,10 +63,11 @@ def _emit(sets: dict[int, np.ndarray], chosen, blocks: int):
 def _shared(batches, dtypes):
     """For each block: the columns, sorted by n-gram and row without repeats, of n-grams in two rows or more, and the column count of each."""
     for _, (h, node, *more) in blocks_of(batches, *dtypes):
+        h, node, *more = repeated(h, node, *more)
         order = np.lexsort((node, h))
         h, node = h[order], node[order]
         more = [m[order] for m in more]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
+        new = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
         h, node, more = h[new], node[new], [m[new] for m in more]
         _, length = runs(h)
         count = np.repeat(length, length)
@@ -93,21 +94,6 @@ def _alone(batches):
         yield k, n[at].astype(np.int64), e[at].astype(np.int64) - np.bincount(of, c).astype(np.int64)
 
 
-def alone(sets: DataFrame, members, blocks: int) -> DataFrame:
-    """(node, n, u) of sets (node, payload) that share any member: the size, and members that no other set has. ``members`` gives the hashes of a list of payloads."""
-
-    def postings(batches):
-        for batch in sliced(batches, 1024):
-            yield from _chunks(_emit(dict(zip(batch.column(0).to_pylist(), members(batch.column(1).to_pylist()), strict=True)), lambda s: s, blocks))
-
-    def counted(batches):
-        for node, n, u in _alone(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(node)), pa.array(n), pa.array(u)], names=["node", "n", "u"])
-
-    by_column = exchange(sets.select("node", "payload").mapInArrow(postings, _CHUNK), blocks)
-    return exchange(by_column.mapInArrow(_shared_counts(blocks), _CHUNK), blocks).mapInArrow(counted, "node long, n long, u long")
-
-
 def _signed(node: np.ndarray) -> np.ndarray:
     return (node ^ np.uint64(1 << 63)).view(np.int64)
 

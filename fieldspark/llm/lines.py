@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, bloom, blocks_of, exchange, fresh, maybe, mix, repeated, runs, sliced, split_blocks, stored
+from .common import block_count, blocks_of, bloom, exchange, fresh, maybe, mix, released, repeated, runs, sliced, split_blocks, stored
 from .linking import link
 
 #: Characters in a shingle, percent of Jaccard similarity, bands and MinHash values in a band.
@@ -126,7 +126,7 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
                 names=["doc_id", "line", "node", "block", "payload"],
             )
 
-    table = stored(base.mapInArrow(first, "doc_id long, line int, node long, block int, payload binary"), "lines")
+    table = stored(base.mapInArrow(released(first), "doc_id long, line int, node long, block int, payload binary"), "lines")
     lines = table.where("node is not null").select("doc_id", "line", "node")
 
     def lists(batches):
@@ -148,7 +148,7 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
             for at in range(0, len(zero), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536]) for c in cols], names=["key", "node", "n", "u", "hub", "hub_n", "hub_u"])
 
-    postings = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(lists, "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
+    postings = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(released(lists), "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
     nodes = postings.select("node").distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bloom(nodes, "node"))
 
@@ -164,7 +164,7 @@ def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "d
             keep = maybe(bits.value, k)
             yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array([x for x, y in zip(found.values(), keep, strict=True) if y], pa.string())], names=["node", "payload"])
 
-    sets = base.select("text").mapInArrow(wanted, "node long, payload string").groupBy("node").agg(F.min("payload").alias("payload"))
+    sets = base.select("text").mapInArrow(released(wanted), "node long, payload string").groupBy("node").agg(F.min("payload").alias("payload"))
     sets = stored(sets.join(nodes, "node", "left_semi"), "candidates")
 
     # distinct shingles are not counted beforehand, so sizes bound nothing here and every pair is verified

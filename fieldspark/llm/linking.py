@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sliced, stored
+from .common import released, sliced, stored
 from .components import components
 
 #: Nodes in a list, and in a block of a longer list; columns multiplied at once.
@@ -73,7 +73,7 @@ def verified(pairs: DataFrame, sets: DataFrame, members, percent: int) -> DataFr
             mask = pa.array([similar(own[x], own[y], percent) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return held.mapInArrow(run, "a long, b long")
+    return held.mapInArrow(released(run), "a long, b long")
 
 
 def _long_lists(rest: DataFrame, sets: DataFrame, members, percent: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, bloom, blocks_of, exchange, maybe, repeated, runs, shingles, sliced, split_blocks, stored
+from .common import block_count, blocks_of, bloom, exchange, maybe, released, repeated, runs, shingles, sliced, split_blocks, stored
 from .linking import link
 
 WIDTH, PERCENT = 3, 90
@@ -129,15 +129,15 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
                 names=["doc_id", "node", "n_shingles", "block", "payload"],
             )
 
-    table = stored(base.mapInArrow(first, "doc_id long, node long, n_shingles long, block int, payload binary"), "incidence")
+    table = stored(base.mapInArrow(released(first), "doc_id long, node long, n_shingles long, block int, payload binary"), "incidence")
     rows = table.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
 
     def survivors(batches):
         for node, n, alone in _alone(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_signed(node[alone <= slack(n, percent)]))], names=["node"])
 
-    by_row = exchange(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(_shared_counts(blocks), _CHUNK), blocks)
-    left = by_row.mapInArrow(survivors, "node long")
+    by_row = exchange(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(released(_shared_counts(blocks)), _CHUNK), blocks)
+    left = by_row.mapInArrow(released(survivors), "node long")
     left = stored(rows.where("doc_id is not null").join(left, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "left")
     bits = docs.sparkSession.sparkContext.broadcast(bloom(left, "doc_id"))
 
@@ -155,7 +155,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
                     found[k] = s
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["node", "payload"])
 
-    sets = stored(base.where(wanted("doc_id")).join(left, "doc_id").select("node", "text").mapInArrow(second, "node long, payload binary").dropDuplicates(["node"]), "sets")
+    sets = stored(base.where(wanted("doc_id")).join(left, "doc_id").select("node", "text").mapInArrow(released(second), "node long, payload binary").dropDuplicates(["node"]), "sets")
 
     def all_postings(batches):
         for batch in sliced(batches, 2048):
@@ -193,10 +193,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
             for a in range(0, len(h), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 65536]) for c in cols], names=["key", "node", "n", "u", "hub", "hub_n", "hub_u"])
 
-    by_column = exchange(sets.mapInArrow(all_postings, _CHUNK), blocks)
-    by_row = exchange(by_column.mapInArrow(to_rows, _CHUNK), blocks)
-    meeting = exchange(by_row.mapInArrow(prefixes, _CHUNK), blocks)
-    postings = stored(meeting.mapInArrow(lists, "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
+    by_column = exchange(sets.mapInArrow(released(all_postings), _CHUNK), blocks)
+    by_row = exchange(by_column.mapInArrow(released(to_rows), _CHUNK), blocks)
+    meeting = exchange(by_row.mapInArrow(released(prefixes), _CHUNK), blocks)
+    postings = stored(meeting.mapInArrow(released(lists), "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
 
     def members(payloads: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(p, np.uint64) for p in payloads]

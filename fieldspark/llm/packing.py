@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, sliced, stored
+from .common import mix, released, sliced, stored
 
 LENGTH, END = 2048, 1
 #: Bits of each coordinate of the curve, and how far a projection of typical size reaches towards the cube's faces.
@@ -48,6 +48,10 @@ class _Words(dict):
         self.tokenizer, self.unit, self.old = tokenizer, unit, {}
         self.letters, self.model = _byte_letters(), tokenizer.model
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def age(self) -> None:
         if len(self) > REMEMBERED:
             self.old = dict(self)
@@ -170,8 +174,9 @@ def tokenized(docs: DataFrame, path: str, id_column: str = "doc_id", text: str =
                 ids = [np.append(i, last) for i in encode(batch.column(1).cast(pa.binary()).to_pylist())]
                 key = hilbert(projections(ids, signs), BITS)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], schema=schema)
+        encode.words.forget()  # the worker may be kept for other tasks
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, n long, ids binary")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run), "doc_id long, key long, n long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, id_column: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
@@ -201,7 +206,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, id_column: str = "doc
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return ordered.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ordered.mapInArrow(released(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def pieces(docs: DataFrame, path: str) -> DataFrame:

@@ -22,6 +22,7 @@ WORD_GAP = "[ \\t-\\r]+"
 BLOOM_BYTES = 1 << 22
 
 _OWN: list[tempfile.TemporaryDirectory] = []
+_SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +40,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fieldspark/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends there and a lost executor loses nothing.
+
+    Within ``scratch`` the table goes at its end, unless it is to be kept, and then with the scratch around that, if any.
+    """
     path = new_path(df.sparkSession, name)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``stored`` writes within go at the end: nothing that outlives it may read them."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores as it takes to clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, blocks_of, bloom, exchange, fresh, maybe, mix, released, repeated, runs, sliced, split_blocks, stored
+from .common import block_count, blocks_of, bloom, exchange, fresh, maybe, mix, released, repeated, runs, scratch, sliced, split_blocks, stored
 from .linking import link
 
 #: Characters in a shingle, percent of Jaccard similarity, bands and MinHash values in a band.
@@ -200,7 +200,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc
 
 def marked(docs: DataFrame, percent: int, id_column: str, text: str, gone: str, out: str) -> DataFrame:
     """``docs`` with ``gone`` (null where nothing goes) and the text left in ``out``."""
-    table = stored(removed_lines(docs, percent, id_column, text), "gone")
+    with scratch(docs.sparkSession):
+        table = stored(removed_lines(docs, percent, id_column, text), "gone", keep=True)
     (key,) = fresh(docs, "__key")
 
     @F.pandas_udf("string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, blocks_of, bloom, exchange, maybe, released, repeated, runs, shingles, sliced, split_blocks, stored
+from .common import block_count, blocks_of, bloom, exchange, maybe, released, repeated, runs, scratch, shingles, sliced, split_blocks, stored
 from .linking import link
 
 WIDTH, PERCENT = 3, 90
@@ -222,11 +222,13 @@ def _batch(held):
 
 def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``; a component is named by its least doc_id."""
-    rows, roots = join(docs, width, percent, id_column, text)
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "root").select("node", "component_id")
+    with scratch(docs.sparkSession):
+        rows, roots = join(docs, width, percent, id_column, text)
+        nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+        named = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        names = stored(named.join(least, "root").select("node", "component_id"), "names", keep=True)
+        rows = stored(rows, "rows", keep=True)
     # copies share a node, which may hold a third of all rows: adaptive skew joins split them
     out = rows.join(names, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))

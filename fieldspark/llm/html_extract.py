@@ -1,22 +1,27 @@
 """Main text by site style trees.
 
-All pages of a host are merged into one tree of branches (paths of tags with class and id words). A branch's importance
-joins its presentation (what its tag, class, id and role say) with the entropy of its content over the host's pages:
-what every page repeats carries nothing. Branches of low importance are removed from each page, and the rest is its
-text. An article or main element is the presentation that counts most: where a page has one, only what is in it counts
-and entropy removes nothing there, so copies of one article on a host keep their text.
-
-A host's counts are made per batch before they are shuffled and grouped by branch and content, never gathered by host,
-so a host with a third of all pages is no hot group. Null and empty pages have empty text; a page without a URL shares
-a tree with the others without one. Repeated pages keep a row each.
+All pages of a host are merged into one tree of branches (paths of tags with class and id words). The importance of what
+a page has in a branch joins two things: the information of that content over the host's pages (what every page repeats
+carries nothing, what few have carries all) and its presentation, which is a weight and decides nothing alone: being in
+an article or main element and holding much of the page's text speak for it, a class or id word such as "sidebar" speaks
+against it, the less of the page's text the element holds, the more. An element that holds an article or main element
+loses nothing by its words. What is less important than ``MIN_IMPORTANCE`` goes from the page, and the rest is its text.
+Only elements whose tag, role or hidden attribute says that they hold no main text (nav, footer, script) stay out.
+
+Pages of a host with the same blocks are one page of its tree, so copies take nothing from each other or from others, and
+of a branch only the contents that are repeated go. Contents of a host are counted by (host, page, branch, content), never
+gathered by host, so a host with a third of all pages is no hot group. Null and empty pages have empty text; a page
+without a URL shares a tree with the others without one. Repeated pages keep a row each.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
-from collections import Counter
+from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -25,6 +30,8 @@ from .common import fresh, sliced, stored
 
 #: Pages of a host that must hold a branch before its entropy counts, and the importance below which it goes.
 MIN_PAGES, MIN_IMPORTANCE = 6, 0.3
+#: Presentation: added for an article or main element, added times a branch's share of the page's text, and taken off less the squared share that a noise word's element holds.
+ARTICLE, SHARE, NOISE = 0.2, 0.35, 1.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
@@ -53,8 +60,18 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _look(tag: str, attributes: str) -> tuple[str, bool]:
-    """A node's key (its tag with class and id words) and whether its presentation is noise."""
+class Block(NamedTuple):
+    """A text in a branch: the line it is in, whether an article or main element holds it, and how much the word of a noise element around it weighs: 1 less its squared share of the page's text, or half of that where an article or main element has text elsewhere."""
+
+    branch: str
+    text: str
+    line: int
+    article: bool
+    noise: float
+
+
+def _look(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A node's key (its tag with class and id words), whether it holds no main text, and whether a word of it is noise."""
     words: list[str] = []
     noise = tag in _NOISE_TAGS
     if attributes and "=" in attributes or "hidden" in attributes:
@@ -66,32 +83,35 @@ def _look(tag: str, attributes: str) -> tuple[str, bool]:
                 noise |= name == "hidden" or value == "true"
             else:
                 words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())
-    if tag not in ("html", "body"):
-        noise |= not (_ARTICLE_NOISE if tag in ("article", "main") else _NOISE_WORDS).isdisjoint(words)
-    return ".".join([tag, *dict.fromkeys(words)]), noise
+    word = tag not in ("html", "body") and not (_ARTICLE_NOISE if tag in ("article", "main") else _NOISE_WORDS).isdisjoint(words)
+    return ".".join([tag, *dict.fromkeys(words)]), noise, word
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """(branch, text) of each block that is not noise, in page order: of all, and of those in an article or main element."""
-    every: list[tuple[str, str]] = []
-    inside: list[tuple[str, str]] = []
+def parse(page: str | None) -> list[Block]:
+    """The page's texts in their order, but for those in elements that hold no main text."""
+    found: list[tuple[str, str, int, bool, int]] = []
     if not page:
-        return every, inside
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, branch, noise, in an article
-    text: list[str] = []
+        return []
+    stack: list[tuple[str, str, bool, bool, int]] = [("", "", False, False, -1)]  # tag, branch, off, in an article, innermost noise word
+    words: list[int] = []  # of each noise word's element, the one around it
+    held: set[int] = set()  # those that hold an article or main element
+    text: list[tuple[str, tuple]] = []
+    line = 0
 
     def flush():
-        if text:
-            t = " ".join("".join(text).split())
-            if t:
-                top = next((s for s in reversed(stack) if s[0] not in _INLINE), ("", "", False, False))
-                every.append((top[1], t))
-                if top[3]:
-                    inside.append((top[1], t))
-            text.clear()
+        nonlocal line
+        line += 1
+        parts: list[tuple[tuple, list[str]]] = []
+        for t, top in text:
+            if parts and (parts[-1][0] == top[1:] or not t.strip()):
+                parts[-1][1].append(t)
+            elif t.strip():
+                parts.append((top[1:], [t]))
+        found.extend((branch, "".join(t), line, article, word) for (branch, _, article, word), t in parts)
+        text.clear()
 
     def pop(tags: tuple[str, ...], scope: frozenset = frozenset()):
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 if any(s[0] not in _INLINE for s in stack[k:]):
                     flush()
@@ -104,13 +124,13 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not (stack and stack[-1][2]):
-            text.append(html.unescape(page[at:stop]))
+        if stop > at and not stack[-1][2]:
+            text.append((html.unescape(page[at:stop]), stack[-1]))
         if not m:
             break
         at = m.end()
-        if m[1] is not None and not (stack and stack[-1][2]):
-            text.append(m[1])
+        if m[1] is not None and not stack[-1][2]:
+            text.append((m[1], stack[-1]))
         elif m[2]:
             tag = m[2].lower()
             if tag == "p" and not any(s[0] == "p" for s in stack):
@@ -119,7 +139,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str
         elif m[3]:
             tag = m[3].lower()
             if tag == "br":
-                text.append(" ") if not (stack and stack[-1][2]) else None
+                text.append((" ", stack[-1])) if not stack[-1][2] else None
                 continue
             if tag in _CLOSES_P:
                 pop(("p",), _SCOPE)
@@ -129,69 +149,124 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str
                 flush()
             if tag in _VOID:
                 continue
-            up = stack[-1] if stack else ("", "", False, False)
-            key, noise = _look(tag, m[4] or "")
+            up = stack[-1]
+            key, off, noise = _look(tag, m[4] or "")
             if tag in _RAW:
                 close = _RAW[tag].search(page, at)
                 at = close.end() if close else end
                 continue
             if (m[4] or "").endswith("/") and tag in _INLINE:
                 continue
-            stack.append((tag, up[1] if tag in _INLINE and not noise else f"{up[1]}/{key}", up[2] or noise, up[3] or tag in ("article", "main")))
+            article = tag in ("article", "main")
+            if article and not noise and not off and not up[2]:
+                w = up[4]
+                while w >= 0 and w not in held:
+                    held.add(w)
+                    w = words[w]
+            if noise:
+                words.append(up[4])
+            stack.append((tag, up[1] if tag in _INLINE and not (noise or off) else f"{up[1]}/{key}", up[2] or off, up[3] or article, len(words) - 1 if noise else up[4]))
     flush()
-    return every, inside
+    found = [f for f in found if f[4] < 0]
+
+    def around(word: int):
+        while word >= 0:
+            if word not in held:
+                yield word
+            word = words[word]
+
+    size = [0] * len(words)
+    for _, t, _, _, word in found:
+        for w in around(word):
+            size[w] += len(t)
+    total = sum(len(t) for _, t, _, _, _ in found)
+    inner = [next(around(word), -1) for *_, word in found]
+    other = any(article and w < 0 for (*_, article, _), w in zip(found, inner, strict=True))
+    return [Block(branch, t, k, article and w < 0, 1 - (size[w] / total) ** 2 / (1 + other) if w >= 0 else 0.0) for (branch, t, k, article, _), w in zip(found, inner, strict=True)]
+
+
+def lined(found: list[Block]) -> list[tuple[str, str]]:
+    """(branch, text) of each line, its blocks put together."""
+    out: list[tuple[str, str]] = []
+    for _, own in itertools.groupby(found, key=lambda b: b.line):
+        own = list(own)
+        if t := " ".join("".join(b.text for b in own).split()):
+            out.append((own[0].branch, t))
+    return out
+
+
+def blocks(page: str | None) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(branch, text) of each line that no word speaks against, in page order: of all, and of those in an article or main element."""
+    found = [b for b in parse(page) if not b.noise]
+    return lined(found), lined([b for b in found if b.article])
 
 
 def branch_id(branch: str) -> int:
     return xxhash.xxh3_64_intdigest(branch) - (1 << 63)
 
 
-def style_tree(pages: DataFrame, html_column: str = "html", url: str = "url") -> DataFrame:
-    """(host, branch, pages, importance) of every branch outside articles, over all pages."""
+def branches(found: list[Block]) -> dict[str, tuple[int, int]]:
+    """For each branch of a page, the name of its content and its length."""
+    of: dict[str, list[str]] = {}
+    for b in found:
+        of.setdefault(b.branch, []).append(" ".join(b.text.split()))
+    return {b: (branch_id("\n".join([b, *t])), sum(map(len, t))) for b, t in of.items()}
+
+
+def style_tree(pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+    """(host, content, pages, information) of the contents that too many pages of a host have in one branch, over all pages.
+
+    The mean information of a branch's contents is its entropy over its largest value.
+    """
 
     def run(batches):
         for batch in sliced(batches, 4096):
-            counts: Counter = Counter()
+            rows: list[tuple[str, int, int, int]] = []
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                every, inside = blocks(h)
-                if not inside:
-                    of: dict[str, list[str]] = {}
-                    for branch, t in every:
-                        of.setdefault(branch, []).append(t)
-                    counts.update((host(u), branch_id(b), branch_id("\n".join(t))) for b, t in of.items())
-            rows = list(zip(*((*k, n) for k, n in counts.items()), strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "branch", "content", "n"])
-
-    seen = pages.select(F.col(url).alias("u"), F.col(html_column).alias("h")).mapInArrow(run, "host string, branch long, content long, n long")
-    contents = seen.groupBy("host", "branch", "content").agg(F.sum("n").alias("n"))
-    tree = contents.groupBy("host", "branch").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    # entropy over its largest value: log m - (sum of n log n) / m, over log m
-    importance = F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))).otherwise(1.0)
-    return tree.select("host", "branch", "pages", importance.alias("importance"))
+                if own := branches(parse(h)):
+                    page = branch_id("\n".join(f"{c}" for c, _ in own.values()))
+                    rows.extend((host(u), page, branch_id(b), c) for b, (c, _) in own.items())
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "branch", "content"])
+
+    seen = pages.select(F.col(url).alias("u"), F.col(html_column).alias("h")).mapInArrow(run, "host string, page long, branch long, content long")
+    contents = stored(seen.groupBy("host", "branch", "content").agg(F.count("*").alias("n")), "contents")
+    tree = contents.groupBy("host", "branch").agg(F.sum("n").alias("pages")).where(F.col("pages") >= max(2, min_pages))
+    # what n of m pages have carries log(m / n) of log m; fewer than this many pages leave enough in every branch that counts
+    often = contents.where(F.col("n") >= max(2.0, float(max(2, min_pages)) ** (1 - min_importance) - 1e-6))
+    information = 1 - F.log("n") / F.log("pages")
+    return often.join(tree, ["host", "branch"]).select("host", "content", "pages", information.alias("information")).where(F.col("information") < min_importance)
+
+
+def main_text(page: str | None, known: dict[int, float], min_importance: float = MIN_IMPORTANCE) -> str:
+    """The page's lines without what is less important; ``known`` has the information of repeated contents, others have all."""
+    found = parse(page)
+    own = branches(found)
+    total = sum(n for _, n in own.values()) or 1
+    base = {b: known.get(c, 1.0) + SHARE * n / total for b, (c, n) in own.items()}
+    return "\n".join(t for _, t in lined([b for b in found if base[b.branch] + ARTICLE * b.article - NOISE * b.noise >= min_importance]))
 
 
 def extract(pages: DataFrame, html_column: str = "html", url: str = "url", out: str = "text", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """``pages`` with the main text in ``out``; empty if there is none."""
-    low = style_tree(pages, html_column, url).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance))
-    # distinct low branches of one host: as many as its templates have, whatever the number of pages
-    low = stored(low.groupBy("host").agg(F.sort_array(F.collect_list("branch")).alias("low")), "style")
-    key, drop, h = fresh(pages, "__host", "__low", "__hostkey")
+    low = style_tree(pages, html_column, url, min_pages, min_importance)
+    # of a branch of m pages fewer than m ** min_importance contents are repeated as often
+    low = stored(low.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("content", "information"))).alias("low")).select("host", "low.content", "low.information"), "style")
+    key, ids, values, h = fresh(pages, "__host", "__low", "__information", "__hostkey")
 
     @F.pandas_udf("string")
     def hosts(urls):
         return urls.map(lambda u: host(u if isinstance(u, str) else None))
 
     @F.pandas_udf("string")
-    def text(htmls, lows):
-        def one(h, low):
-            every, inside = blocks(h if isinstance(h, str) else None)
-            gone = set(low) if low is not None else ()
-            return "\n".join(t for _, t in inside) if inside else "\n".join(t for b, t in every if not gone or branch_id(b) not in gone)
+    def text(htmls, lows, informations):
+        def one(h, low, information):
+            return main_text(h if isinstance(h, str) else None, dict(zip(low, information, strict=True)) if low is not None else {}, min_importance)
 
-        return htmls.combine(lows, one)
+        return pd.Series(list(map(one, htmls, lows, informations)), index=htmls.index, dtype=object)
 
-    joined = pages.withColumn(key, hosts(F.col(url))).join(low.select(F.col("host").alias(h), F.col("low").alias(drop)), F.col(key) == F.col(h), "left")
-    return joined.withColumn(out, text(F.col(html_column), F.col(drop))).drop(key, drop, h)
+    joined = pages.withColumn(key, hosts(F.col(url))).join(low.select(F.col("host").alias(h), F.col("content").alias(ids), F.col("information").alias(values)), F.col(key) == F.col(h), "left")
+    return joined.withColumn(out, text(F.col(html_column), F.col(ids), F.col(values))).drop(key, ids, values, h)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -233,6 +233,17 @@ def test_html(spark):
     assert got[52][0] == "Same everywhere\nStory other of its own"
 
 
+def html_texts(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.example/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.page_texts(df).collect()}
+
+
+def test_html_tree_decides_inside_and_outside_articles(spark):
+    page = "<body><div class='story'><p>Story {0} of its own, told at length with words {0}</p></div><article><div class='tagline'>Same here</div><h2>Teaser {0} of another page</h2></article></body>"
+    got = html_texts(spark, [page.format(i) for i in range(12)])
+    assert got[3] == "Story 3 of its own, told at length with words 3\nTeaser 3 of another page"
+
+
 def test_nearest_is_exact():
     r = random.Random(4)
     texts = [toxicity.terms_of(prose(r, 20) + (" vile nasty" if k % 4 == 0 else "")) for k in range(300)]

@@ -216,21 +216,21 @@ def branches(found: list[Block]) -> dict[str, tuple[int, int]]:
 def style_tree(pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """(host, content, pages, information) of the contents that too many pages of a host have in one branch, over all pages.
 
-    The mean information of a branch's contents is its entropy over its largest value.
+    Pages with the same blocks count once. The mean information of a branch's contents is its entropy over its largest value.
     """
 
     def run(batches):
         for batch in sliced(batches, 4096):
-            rows: list[tuple[str, int, int, int]] = []
+            rows: set[tuple[str, int, int, int]] = set()
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if own := branches(parse(h)):
                     page = branch_id("\n".join(f"{c}" for c, _ in own.values()))
-                    rows.extend((host(u), page, branch_id(b), c) for b, (c, _) in own.items())
+                    rows.update((host(u), page, branch_id(b), c) for b, (c, _) in own.items())
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "branch", "content"])
 
     seen = pages.select(F.col(url).alias("u"), F.col(html_column).alias("h")).mapInArrow(run, "host string, page long, branch long, content long")
-    contents = stored(seen.groupBy("host", "branch", "content").agg(F.count("*").alias("n")), "contents")
+    contents = stored(seen.distinct().groupBy("host", "branch", "content").agg(F.count("*").alias("n")), "contents")
     tree = contents.groupBy("host", "branch").agg(F.sum("n").alias("pages")).where(F.col("pages") >= max(2, min_pages))
     # what n of m pages have carries log(m / n) of log m; fewer than this many pages leave enough in every branch that counts
     often = contents.where(F.col("n") >= max(2.0, float(max(2, min_pages)) ** (1 - min_importance) - 1e-6))

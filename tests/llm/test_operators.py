@@ -244,6 +244,15 @@ def test_html_tree_decides_inside_and_outside_articles(spark):
     assert got[3] == "Story 3 of its own, told at length with words 3\nTeaser 3 of another page"
 
 
+def test_html_copies_take_no_text(spark):
+    page = "<body><div class='tagline'>Same everywhere</div><div class='story'><p>Story {0} of its own</p></div></body>"
+    got = html_texts(spark, [page.format("copied")] * 10 + [page.format(i) for i in range(2)])
+    assert got[0].endswith("Story copied of its own") and got[11].endswith("Story 1 of its own")
+    # contents that most pages repeat go, rare ones of the same branch stay
+    got = html_texts(spark, [f"<body><div class='top'>{'Open now' if i else 'Closed for good'}</div><p>Story {i} of its own</p></body>" for i in range(20)])
+    assert got[0] == "Closed for good\nStory 0 of its own" and got[1] == "Story 1 of its own"
+
+
 def test_nearest_is_exact():
     r = random.Random(4)
     texts = [toxicity.terms_of(prose(r, 20) + (" vile nasty" if k % 4 == 0 else "")) for k in range(300)]

@@ -167,7 +167,6 @@ def parse(page: str | None) -> list[Block]:
                 words.append(up[4])
             stack.append((tag, up[1] if tag in _INLINE and not (noise or off) else f"{up[1]}/{key}", up[2] or off, up[3] or article, len(words) - 1 if noise else up[4]))
     flush()
-    found = [f for f in found if f[4] < 0]
 
     def around(word: int):
         while word >= 0:

@@ -253,6 +253,15 @@ def test_html_copies_take_no_text(spark):
     assert got[0] == "Closed for good\nStory 0 of its own" and got[1] == "Story 1 of its own"
 
 
+def test_html_words_are_weights(spark):
+    body = "<p>Story {0} of its own, long enough to be read</p><div class='share'>Tell friends {0}</div><p>Its <span class='ad'>Buy {0}</span> end {0}</p>"
+    wraps = ["<div class='site-content has-sidebar'><article>{}</article></div>", "<div id='page' class='no-sidebar'><main>{}</main></div>", "<div class='no-sidebar'>{}</div>", "<div>{}</div>"]
+    pages = [f"<body>{w.format(body.format(10 * k + i))}</body>" for k, w in enumerate(wraps) for i in range(8)]
+    for i, text in html_texts(spark, pages).items():
+        n = 10 * (i // 8) + i % 8
+        assert text == f"Story {n} of its own, long enough to be read\nIts end {n}"
+
+
 def test_nearest_is_exact():
     r = random.Random(4)
     texts = [toxicity.terms_of(prose(r, 20) + (" vile nasty" if k % 4 == 0 else "")) for k in range(300)]

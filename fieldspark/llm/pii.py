@@ -30,10 +30,11 @@ _MAC = re.compile(r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?!
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.5, "mac": 0.6}
 CONTEXT = 48
 RAISE = {
-    "email": ("mail", "contact", "write"), "ip": ("ip", "address", "host", "server"), "card": ("card", "visa", "credit", "payment", "mastercard"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "contact"), "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"), "mac": ("mac", "device", "address"),
+    "email": ("mail", "email", "contact", "write"), "ip": ("ip", "address", "host", "server"), "card": ("card", "visa", "credit", "payment", "mastercard"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "fax", "contact"), "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"), "mac": ("mac", "device", "address"),
 }
 LOWER = {"ip": ("version", "release"), "card": ("order", "serial", "isbn", "tracking"), "phone": ("isbn", "order"), "ssn": ("order", "part", "serial")}
+_WORD = re.compile(r"[^\W_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -106,12 +107,24 @@ def _candidates(text: str):
         yield "mac", m.start(), m.end(), None
 
 
-def find_spans(text: str, floor: float = 0.5) -> list[dict]:
-    """All confirmed spans with scores; the base kinds always stay, others need a score of at least ``floor``."""
+def _near(text: str, a: int, b: int) -> set[str]:
+    """The words that lie whole within CONTEXT code points of a span, those in s also without it."""
+    words: set[str] = set()
+    for lo, hi in ((max(0, a - CONTEXT), a), (b, min(len(text), b + CONTEXT))):
+        for m in _WORD.finditer(text, lo, hi):
+            if not (m.start() == lo > 0 and text[lo - 1].isalnum() or m.end() == hi < len(text) and text[hi].isalnum()):
+                w = m[0].lower()
+                words.add(w)
+                words.add(w.removesuffix("s"))
+    return words
+
+
+def find_spans(text: str, floor: float = 0.0) -> list[dict]:
+    """All confirmed spans with scores, which the words nearby adjust; kinds beyond the base need a score of at least ``floor``."""
     out = []
     for kind, a, b, detail in _candidates(text):
-        near = f" {text[max(0, a - CONTEXT) : a]} {text[b : b + CONTEXT]} ".lower()
-        score = PRIOR[kind] + 0.1 * any(w in near for w in RAISE[kind]) - 0.2 * any(w in near for w in LOWER.get(kind, ()))
+        near = _near(text, a, b)
+        score = PRIOR[kind] + 0.1 * (not near.isdisjoint(RAISE[kind])) - 0.2 * (not near.isdisjoint(LOWER.get(kind, ())))
         if kind in BASE or score >= floor:
             out.append({"kind": kind, "start": a, "end": b, "score": round(min(1.0, max(0.0, score)), 4), "base": kind in BASE, "detail": detail})
     return out

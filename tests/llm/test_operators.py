@@ -168,6 +168,16 @@ def test_pii_matches_the_patterns():
     assert {s["kind"] for s in pii.find_spans(PII)} == {"email", "ip", "card", "phone", "iban", "ssn"}
 
 
+def test_pii_context_is_whole_words_and_drops_nothing():
+    def ssn(text):
+        return [s["score"] for s in pii.find_spans(text) if s["kind"] == "ssn"]
+
+    assert ssn("Social security number 123-45-6789, HR department") == [0.6] == ssn("border party, SSN: 123-45-6789")
+    assert ssn("order 123-45-6789") == [0.3] == ssn("parts 123-45-6789") and ssn("serial of the ssn 123-45-6789") == [0.4] and ssn("123-45-6789") == [0.5]
+    # a word that the edge of the context cuts is none
+    assert ssn("123-45-6789 " + "x" * (pii.CONTEXT - 6) + " party") == [0.5] == ssn("depart" + " " * (pii.CONTEXT - 4) + "123-45-6789")
+
+
 def test_secrets():
     r = random.Random(2)
     rsa = bytes.fromhex("30820012") + b"\x02\x10" + bytes(16)

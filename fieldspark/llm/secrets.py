@@ -1,8 +1,8 @@
 """Secrets: patterns propose, structure confirms.
 
-Base spans (assignments, access keys, long hex) stay as they are. Beyond them, base64 and hex candidates are decoded
-and reported only if what they hold parses: DER with lengths that nest exactly, SSH wire strings that fill the blob,
-or signed-token headers. Nulls and empty texts give nothing; offsets count code points, ends are exclusive.
+Base spans (assignments, access keys, long hex) stay as they are. Beyond them, base64 and hex candidates (hex in either
+case, base64 in either alphabet, in one run or wrapped over lines) are decoded and reported only if what they hold
+parses: DER with lengths that nest exactly, SSH wire strings that fill the blob, or signed-token headers. Nulls and empty texts give nothing; offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -24,8 +24,15 @@ _KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: Three dotted parts; the shortest header, with an empty algorithm, takes 14 characters. Parts may start a token each, so only the header is taken in.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+))")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+_URL64 = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
+_ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{24,}")
+#: Runs over two lines or more; a DER sequence starts with M, SSH wire strings with AAAA.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|AAAA)[A-Za-z0-9+/_-]*+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_SSH_NAME = (b"ssh-", b"ecdsa-", b"sk-")
 
 
 def _b64(text: str, url: bool = False) -> bytes | None:
@@ -76,19 +83,64 @@ def ssh_key(data: bytes) -> bool:
             return False
         parts.append(data[at : at + n])
         at += n
-    return len(parts) >= 2 and parts[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
+    return len(parts) >= 2 and parts[0].startswith(_SSH_NAME)
 
 
 def token_header(part: str) -> str | None:
     """The algorithm that a signed token's header names."""
     raw = _b64(part, url=True)
     try:
-        head = json.loads(raw) if raw else None
-    except ValueError:
+        head = json.loads(raw) if raw and raw.lstrip()[:1] == b"{" else None
+    except (ValueError, RecursionError):
         return None
     return head["alg"] if isinstance(head, dict) and isinstance(head.get("alg"), str) else None
 
 
+def _wrapped(text: str):
+    """(kind, start, end) of keys wrapped over lines: from a line's start as far as the key's own lengths say, if a line ends there."""
+    for m in _WRAPPED.finditer(text):
+        pieces = [(p.start(), p.end()) for p in _PIECE.finditer(text, m.start(), m.end())]
+        joined = "".join(text[a:b] for a, b in pieces)
+        place, ends = 0, {}  # in ``joined``, of each line's end
+        for k, (a, b) in enumerate(pieces):
+            place += b - a
+            ends[place] = k
+        place, after = 0, 0
+        for a, b in pieces:
+            at, place = place, place + b - a
+            if at < after:
+                continue
+            size, kind = 0, ""
+            if joined[at] == "M":
+                head = _b64(joined[at : at + 8], url=True) or b""
+                if len(head) == 6 and head[0] == 0x30:
+                    k = head[1] & 0x7F if head[1] & 0x80 else 0
+                    size, kind = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1]) if k <= 4 else 0, "der"
+                sizes = [size]
+            elif joined.startswith("AAAA", at) and (_b64(joined[at : at + 16], url=True) or b"")[4:].startswith(_SSH_NAME):
+                whole, kind, sizes, step = _b64(joined[at : at + (len(joined) - at) // 4 * 4], url=True) or b"", "ssh", [], 0
+                tail = joined[at + (len(joined) - at) // 4 * 4 :]
+                whole += (_b64(tail, url=True) or b"") if len(tail) > 1 else b""
+                while step + 4 <= len(whole) and step + 4 + (n := int.from_bytes(whole[step : step + 4], "big")) <= len(whole):
+                    if step and at + -(-step * 4 // 3) in ends and whole.startswith(_SSH_NAME, step + 4):
+                        break  # the next key
+                    step += 4 + n
+                    sizes.append(step)
+            else:
+                continue
+            for size in reversed(sizes):
+                end = at + -(-size * 4 // 3)
+                if size and end in ends and end > place:
+                    raw = _b64(joined[at:end], url=True)
+                    if raw and (der_key(raw) if kind == "der" else ssh_key(raw)):
+                        stop = pieces[ends[end]][1]
+                        while stop < len(text) and text[stop] == "=" and (end - at + stop - pieces[ends[end]][1]) % 4:
+                            stop += 1
+                        yield kind, a, stop
+                        after = end
+                        break
+
+
 def find_spans(text: str) -> list[dict]:
     out = []
 
@@ -113,19 +165,36 @@ def find_spans(text: str) -> list[dict]:
             if raw and (der_key(raw) or raw.startswith(b"openssh-key-v1\0")):
                 add("pem", m.start(), m.end(), 0.99, m[1].lower())
                 taken.append((m.start(), m.end()))
-    if "eyJ" in text:
+    if "." in text:
+        end = 0
         for m in _JWT.finditer(text):
-            if alg := token_header(m[1]):
-                add("jwt", m.start(), m.end(), 0.99 if m[3] else 0.7, alg)
-                taken.append((m.start(), m.end()))
+            if m.start() >= end and (alg := token_header(m[1])):
+                end = m.end(3)
+                add("jwt", m.start(), end, 0.99 if m[3] else 0.7, alg)
+                taken.append((m.start(), end))
+
+    def free(a: int) -> bool:
+        return not any(lo <= a < hi for lo, hi in taken)
+
+    def confirm(a: int, b: int, raw: bytes | None):
+        if raw and (kind := "der" if der_key(raw) else "ssh" if ssh_key(raw) else None):
+            add(kind, a, b, 0.95)
+            taken.append((a, b))
+
+    if "\n" in text:
+        for kind, a, b in _wrapped(text):
+            if free(a):
+                add(kind, a, b, 0.95)
+                taken.append((a, b))
+    for m in _ANY_HEX.finditer(text):
+        if not m[0].islower() and not m[0].isdigit() and free(m.start()):  # else a base span
+            confirm(m.start(), m.end(), bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))
     for m in _B64.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
-            continue
-        raw = _b64(m[0])
-        if raw and der_key(raw):
-            add("der", m.start(), m.end(), 0.95)
-        elif raw and ssh_key(raw):
-            add("ssh", m.start(), m.end(), 0.95)
+        if free(m.start()):
+            confirm(m.start(), m.end(), _b64(m[0]))
+    for m in _URL64.finditer(text):
+        if free(m.start()) and ("-" in m[0] or "_" in m[0]):
+            confirm(m.start(), m.end(), _b64(m[0], url=True))
     return out
 
 

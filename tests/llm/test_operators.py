@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
+import base64
 import hashlib
 import itertools
 import random
@@ -194,6 +195,34 @@ def test_secrets():
         assert sorted(want) == sorted((s["kind"], s["start"], s["end"]) for s in secrets.find_spans(t) if s["base"]), t
 
 
+def test_secrets_in_other_alphabets_and_wrapped():
+    def b64(raw, url=False):
+        return (base64.urlsafe_b64encode if url else base64.b64encode)(raw).decode()
+
+    def found(text):
+        return [(s["kind"], text[s["start"] : s["end"]]) for s in secrets.find_spans(text) if not s["base"]]
+
+    der = b"\x30\x34\x02\x32" + b"\xfb\xef\xff" * 16 + b"\x01\x02"
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"\xfb\xef" * 16))
+    for raw, kind in ((der, "der"), (ssh, "ssh")):
+        assert found(f"k {raw.hex().upper()} .") == [(kind, raw.hex().upper())]
+        mixed = raw.hex()[:20] + raw.hex()[20:].upper()
+        assert found(f"k {mixed} .") == [(kind, mixed)]
+        for url in (False, True):
+            one = b64(raw, url)
+            assert found(f"k {one} .") == [(kind, one)]
+            for width, line in itertools.product((8, 20, 64), ("\n", "\r\n  ")):
+                lines_ = line.join(one[i : i + width] for i in range(0, len(one), width))
+                for around in ("{}", "key:\n{}\nmore words", "Many\n{}\n{}"):
+                    text = around.format(*[lines_] * 2)
+                    assert found(text) == [(kind, lines_)] * around.count("{}")
+    head = [b64(h, True).rstrip("=") for h in (b'{ "alg": "HS256"}', b'{\n"alg":"none"}', b'{"alg":"RS256"}', b'{"typ":"JWT"}')]
+    for h, alg in zip(head, ("HS256", "none", "RS256", None), strict=True):
+        token = f"{h}.e30.c2ln"
+        assert found(f"www.{token}") == ([("jwt", token)] if alg else [])
+    assert found("internationalization.of.software and internationally.known.things") == []
+
+
 def test_media_round_trip(spark, docs, rows):
     got = media.media_features(docs).collect()
     want = sorted((hashlib.sha256(media.payload_of(t)[0]).hexdigest(), len((t or "").encode())) for _, t, _ in rows)

@@ -18,6 +18,7 @@ a null component and link nothing. Repeated doc_ids and equal texts share a comp
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -220,23 +221,47 @@ def _batch(held):
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int32()), pa.array([p for _, p in held], pa.binary())], names=["block", "payload"])
 
 
-def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``; a component is named by its least doc_id."""
+def _components(docs: DataFrame, width: int, percent: int, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, node) and, for each node of a row with an id, (node, component_id, root)."""
     with scratch(docs.sparkSession):
         rows, roots = join(docs, width, percent, id_column, text)
         nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         named = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
         least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        names = stored(named.join(least, "root").select("node", "component_id"), "names", keep=True)
-        rows = stored(rows, "rows", keep=True)
+        names = stored(named.join(least, "root").select("node", "component_id", "root"), "names", keep=True)
+        return stored(rows, "rows", keep=True), names
+
+
+def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``; a component is named by its least doc_id."""
+    rows, names = _components(docs, width, percent, id_column, text)
     # copies share a node, which may hold a third of all rows: adaptive skew joins split them
-    out = rows.join(names, "node", "left")
+    out = rows.join(names.select("node", "component_id"), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the least id; rows without an id stay. Columns as in ``docs``."""
-    comps = components_of(docs, width, percent, id_column, text)
-    gone = comps.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_column).cast("long") == F.col("__gone"), "left_anti")
+    """One row of each component, one with the least id; rows without an id or without words stay. Columns as in ``docs``.
+
+    Of rows with that id the one with the least node stays, and of those the one with the least text.
+    """
+    rows, names = _components(docs, width, percent, id_column, text)
+    own = rows.where("doc_id is not null and node is not null").select("doc_id", "node").distinct()
+    own = stored(own.join(names, "node"), "own")
+    # a doc_id in one row is told by its id alone; the rows of the others are told by their node too
+    several = stored(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    first = own.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.*")
+    kept = stored(several.join(first, "doc_id"), "kept")
+    gone = stored(own.where("doc_id <> component_id").select("doc_id").union(several).distinct().select(F.col("doc_id").alias("__gone")), "gone")
+
+    @F.pandas_udf("long")
+    def node(texts):
+        sets = [shingles(t if isinstance(t, str) else None, width) for t in texts]
+        return pd.Series([node_of(s) if len(s) else None for s in sets], dtype="Int64")
+
+    key = F.col(id_column).cast("long")
+    alone = docs.join(gone, key == F.col("__gone"), "left_anti")
+    again = docs.join(several.select(F.col("doc_id").alias("__id")), key == F.col("__id"), "left_semi").select(F.struct("*").alias("row"), key.alias("doc_id"), node(F.col(text)).alias("node"))
+    one = again.where("node is not null").join(kept, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", F.col("row")[text]).alias("row"))
+    return alone.unionByName(one.select("row.*")).unionByName(again.where("node is null").select("row.*"))

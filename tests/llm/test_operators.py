@@ -398,3 +398,31 @@ def test_pipeline_stages(spark, docs):
         at = common.stored(stage(spark, at, ""), name.replace(" ", "-"))
         assert at.columns == docs.columns and at.count() > 0
     assert {"doc_id", "sequence_id"} <= set(corpus_pipeline.STAGES[-1][1](spark, at, "").columns)
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark, docs, rows):
+    def grams(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    r = random.Random(9)
+    least, unique, copied = prose(r, 60), prose(r, 60), prose(r, 60)
+    more = [(2000, least, "en"), (2000, least, "en"), (2001, least, "en"), (2001, unique, "en"), (2002, copied, "en"), (2003, copied, "en"), (2003, copied, "en"), (2004, "", "en"), (2004, None, "en"), (2004, "four", "de"), (2005, copied, "en"), (2005, "", "en")]
+    own = rows + more
+    df = spark.createDataFrame([(i, t, g, f"src{(i or 0) % 3}", len(t or ""), "clash", 5) for i, t, g in own], DOCS)
+    sets = [grams(t) for _, t, _ in own]
+    top = groups(len(own), lambda i, j: own[i][0] is not None and own[j][0] is not None and bool(sets[i]) and bool(sets[j]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    stay, seen = [], {}
+    for k, (i, t, _) in enumerate(own):
+        if i is None or not sets[k]:
+            stay.append((i is None, i or 0, t or ""))
+        else:
+            seen.setdefault(top[k], []).append((i, t))
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    kept = sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in got.collect())
+    assert (False, 2001, unique) in kept and kept.count((False, 2000, least)) == 1 and kept.count((False, 2002, copied)) == 1
+    assert len(kept) == len(stay) + len(seen)
+    where = {(i, t): g for g, v in seen.items() for i, t in v}
+    chosen = [(i, t) for null, i, t in kept if not null and (i, t) in where]
+    assert sorted(where[c] for c in chosen) == sorted(seen) and all(i == min(j for j, _ in seen[where[i, t]]) for i, t in chosen)

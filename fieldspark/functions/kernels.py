@@ -73,7 +73,8 @@ def principal_alternate(*s: Column, deviatoric: bool = False) -> list[Column]:
     theta = F.acos(alpha) / 3.0
     radius = 2.0 * F.sqrt(safe / 3.0)
     turned = [radius * F.cos(theta + t) for t in (0.0, -2.0 * math.pi / 3.0, 2.0 * math.pi / 3.0)]
-    return [F.when(two < 1e-12, F.lit(0.0)).otherwise(e if deviatoric else e + h) for e in turned]
+    # a NaN ranks above all numbers here, and is no invariant to go by: it gives 0 as well
+    return [F.when((two < 1e-12) | F.isnan(two), F.lit(0.0)).otherwise(e if deviatoric else e + h) for e in turned]
 
 
 def magnitude(*c: Column) -> Column:
@@ -134,6 +135,51 @@ def jacobian(n) -> Column:
     return dot(r, cross(s, t))
 
 
+def scaled(a, k):
+    return tuple(x * k for x in a)
+
+
+def unit(a):
+    size = F.sqrt(dot(a, a))
+    return tuple(divide(x, size) for x in a)
+
+
+def surface_strain(now, then) -> dict[str, Column]:
+    """Global components of the strain in a four-cornered face, from the displacements of its corners.
+
+    The frame is of the deformed face: its normal, the first edge made orthogonal to that, and their product. In the
+    plane, displacement gradients along the face's two directions are turned to the frame's by the inverse of the 2 x 2
+    Jacobian; the symmetric part, without anything out of the plane, is turned to the axes.
+    """
+    moved = [minus(a, b) for a, b in zip(now, then, strict=True)]
+
+    def along(p, positive, negative):
+        a, b = (plus(p[i], p[j]) for i, j in (positive, negative))
+        return scaled(minus(a, b), 0.25)
+
+    xi, eta = ((1, 2), (0, 3)), ((3, 2), (0, 1))
+    one, two = along(now, *xi), along(now, *eta)
+    normal = unit(cross(one, two))
+    edge = minus(now[1], now[0])
+    first = unit(minus(edge, scaled(normal, dot(edge, normal))))
+    second = cross(normal, first)
+    a, b, c, d = dot(first, one), dot(first, two), dot(second, one), dot(second, two)
+    det = a * d - b * c
+    u_xi, u_eta = along(moved, *xi), along(moved, *eta)
+
+    def gradient(axis):
+        g, h = dot(axis, u_xi), dot(axis, u_eta)
+        return divide(g * d - h * c, det), divide(h * a - g * b, det)
+
+    (xx, xy), (yx, yy) = gradient(first), gradient(second)
+    shear = 0.5 * (xy + yx)
+
+    def turned(i: int, j: int) -> Column:
+        return first[i] * first[j] * xx + second[i] * second[j] * yy + (first[i] * second[j] + second[i] * first[j]) * shear
+
+    return {"x": turned(0, 0), "y": turned(1, 1), "z": turned(2, 2), "xy": turned(0, 1), "yz": turned(1, 2), "zx": turned(2, 0)}
+
+
 def colour(value: Column, lo: Column, hi: Column, stops: list[tuple[float, float, float]]) -> list[Column]:
     """Red, green and blue by linear interpolation between equally spaced stops; a range without width gives the middle."""
     t = F.when(hi == lo, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(value - lo, hi - lo))))

@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def extreme(df: DataFrame, largest: bool, keys: list[str], label: str = "label", value: str = "value") -> DataFrame:
-    """Least or largest value and its label; ties go to the least label, NaN propagates."""
-    nan = F.max(F.isnan(value)).alias("__nan")
-    place = -F.col(label) if largest else F.col(label)
-    pick = F.struct(F.col(value).alias("v"), place.alias("p"), F.col(label).alias("l"))
-    out = df.groupBy(*keys).agg((F.max if largest else F.min)(pick).alias("__x"), nan)
-    v = F.when(F.col("__nan"), F.lit(float("nan"))).otherwise(F.col("__x.v"))
-    return out.select(*keys, F.col("__x.l").alias(label), v.alias(value))
+    """Least or largest value and its label; ties go to the least label. A NaN propagates, with the least label that has one."""
+    number = (~F.isnan(value)).cast("int")
+    pick = F.struct((-number if largest else number).alias("k"), F.col(value).alias("v"), (-F.col(label) if largest else F.col(label)).alias("p"))
+    out = df.groupBy(*keys).agg((F.max if largest else F.min)(pick).alias("__x"))
+    return out.select(*keys, (-F.col("__x.p") if largest else F.col("__x.p")).alias(label), F.col("__x.v").alias(value))
 
 
 def reduced(df: DataFrame, how: str, keys: list[str], value: str = "value") -> DataFrame:
@@ -38,22 +36,30 @@ def velocity(df: DataFrame, keys: list[str], time: str = "state", value: str = "
     """Backward difference; 0 at the first state."""
     w = Window.partitionBy(*keys).orderBy("state")
     d = (F.col(value) - F.lag(value).over(w)) / (F.col(time) - F.lag(time).over(w))
-    return df.withColumn("velocity", F.coalesce(d, F.lit(0.0)))
+    return df.withColumn("velocity", F.when(F.col("state") == 1, F.lit(0.0)).otherwise(F.coalesce(d, F.lit(0.0))))
 
 
-def acceleration(df: DataFrame, count: int, keys: list[str], value: str = "value") -> DataFrame:
-    """Second difference over equal steps: central, forward at the first state, backward at the last."""
+def acceleration(df: DataFrame, count: int, keys: list[str], value: str = "value", time: str = "state") -> DataFrame:
+    """Second difference over the square of half the time between its ends: central, that of the next state at the first, of the one before at the last."""
     w = Window.partitionBy(*keys).orderBy("state")
-    u = {k: (F.lag(value, -k) if k < 0 else F.lead(value, k)).over(w) if k else F.col(value) for k in (-2, -1, 0, 1, 2)}
-    first, last = u[2] - 2 * u[1] + u[0], u[0] - 2 * u[-1] + u[-2]
-    out = F.when(F.col("state") == 1, first).when(F.col("state") == count, last).otherwise(u[1] - 2 * u[0] + u[-1])
-    return df.withColumn("acceleration", out)
 
+    def around(c: str) -> dict:
+        return {k: (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(w) if k else F.col(c) for k in (-2, -1, 0, 1, 2)}
 
-def rate(df: DataFrame, count: int, keys: list[str], value: str = "value") -> DataFrame:
-    """0 at the first state, backward at the last, else the mean of both differences."""
+    u, t = around(value), around(time)
+
+    def middle(k: int):
+        half = 0.5 * (t[k + 1] - t[k - 1])
+        return (u[k + 1] - 2 * u[k] + u[k - 1]) / (half * half)
+
+    return df.withColumn("acceleration", F.when(F.col("state") == 1, middle(1)).when(F.col("state") == count, middle(-1)).otherwise(middle(0)))
+
+
+def rate(df: DataFrame, count: int, keys: list[str], value: str = "value", time: str = "state") -> DataFrame:
+    """0 at the first state, the backward rate at the last, else the mean of the backward and forward rates."""
     w = Window.partitionBy(*keys).orderBy("state")
-    back, ahead = F.col(value) - F.lag(value).over(w), F.lead(value).over(w) - F.col(value)
+    back = (F.col(value) - F.lag(value).over(w)) / (F.col(time) - F.lag(time).over(w))
+    ahead = (F.lead(value).over(w) - F.col(value)) / (F.lead(time).over(w) - F.col(time))
     return df.withColumn("rate", F.when(F.col("state") == 1, 0.0).when(F.col("state") == count, back).otherwise((back + ahead) / 2))
 
 

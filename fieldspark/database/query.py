@@ -304,7 +304,7 @@ def _over_mesh(db: Database, r: Resolved, mesh_class: str, wanted: list[int], ke
         corners = topology.SHAPES["HEX"].faces[face - 1]
         own = gathered(db, mesh_class, wanted, keep, reference=True)
         now, then = _points(n), _points(n, "XYZ", "r")
-        strain = K.surface_strain([now[k] for k in corners], [then[k] for k in corners])
+        own, strain = K.surface_strain(own, [now[k] for k in corners], [then[k] for k in corners])
         return _result(own, r, mesh_class, strain[d.name.removeprefix("surfstrain")])
     # forces: the primal of each element times its area
     holder, at = r.parts[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 STRESS = ("sx", "sy", "sz", "sxy", "syz", "szx")
 STRAIN = ("ex", "ey", "ez", "exy", "eyz", "ezx")
@@ -144,40 +144,41 @@ def unit(a):
     return tuple(divide(x, size) for x in a)
 
 
-def surface_strain(now, then) -> dict[str, Column]:
-    """Global components of the strain in a four-cornered face, from the displacements of its corners.
+def surface_strain(df: DataFrame, now, then) -> tuple[DataFrame, dict[str, Column]]:
+    """Global components of the strain in a four-cornered face, from the displacements of its corners, and ``df`` with the columns that they are of.
 
     The frame is of the deformed face: its normal, the first edge made orthogonal to that, and their product. In the
     plane, displacement gradients along the face's two directions are turned to the frame's by the inverse of the 2 x 2
-    Jacobian; the symmetric part, without anything out of the plane, is turned to the axes.
+    Jacobian; the symmetric part, without anything out of the plane, is turned to the axes. Each step is columns of its
+    own, as later ones use them many times.
     """
-    moved = [minus(a, b) for a, b in zip(now, then, strict=True)]
+
+    def held(name: str, vector):
+        nonlocal df
+        df = df.withColumns({f"__{name}{i}": c for i, c in enumerate(vector)})
+        return tuple(F.col(f"__{name}{i}") for i in range(len(vector)))
 
     def along(p, positive, negative):
         a, b = (plus(p[i], p[j]) for i, j in (positive, negative))
         return scaled(minus(a, b), 0.25)
 
     xi, eta = ((1, 2), (0, 3)), ((3, 2), (0, 1))
-    one, two = along(now, *xi), along(now, *eta)
-    normal = unit(cross(one, two))
-    edge = minus(now[1], now[0])
-    first = unit(minus(edge, scaled(normal, dot(edge, normal))))
-    second = cross(normal, first)
-    a, b, c, d = dot(first, one), dot(first, two), dot(second, one), dot(second, two)
-    det = a * d - b * c
-    u_xi, u_eta = along(moved, *xi), along(moved, *eta)
-
-    def gradient(axis):
-        g, h = dot(axis, u_xi), dot(axis, u_eta)
-        return divide(g * d - h * c, det), divide(h * a - g * b, det)
-
-    (xx, xy), (yx, yy) = gradient(first), gradient(second)
-    shear = 0.5 * (xy + yx)
+    moved = [minus(a, b) for a, b in zip(now, then, strict=True)]
+    one, two = held("one", along(now, *xi)), held("two", along(now, *eta))
+    u_xi, u_eta = held("uxi", along(moved, *xi)), held("ueta", along(moved, *eta))
+    normal = held("normal", unit(held("cross", cross(one, two))))
+    edge = held("edge", minus(now[1], now[0]))
+    first = held("first", unit(held("flat", minus(edge, scaled(normal, dot(edge, normal))))))
+    second = held("second", cross(normal, first))
+    a, b, c, d = held("jacobian", (dot(first, one), dot(first, two), dot(second, one), dot(second, two)))
+    (det,) = held("det", (a * d - b * c,))
+    fu, fv, su, sv = held("along", (dot(first, u_xi), dot(first, u_eta), dot(second, u_xi), dot(second, u_eta)))
+    xx, shear, yy = held("strain", (divide(fu * d - fv * c, det), 0.5 * (divide(fv * a - fu * b, det) + divide(su * d - sv * c, det)), divide(sv * a - su * b, det)))
 
     def turned(i: int, j: int) -> Column:
         return first[i] * first[j] * xx + second[i] * second[j] * yy + (first[i] * second[j] + second[i] * first[j]) * shear
 
-    return {"x": turned(0, 0), "y": turned(1, 1), "z": turned(2, 2), "xy": turned(0, 1), "yz": turned(1, 2), "zx": turned(2, 0)}
+    return df, {"x": turned(0, 0), "y": turned(1, 1), "z": turned(2, 2), "xy": turned(0, 1), "yz": turned(1, 2), "zx": turned(2, 0)}
 
 
 def colour(value: Column, lo: Column, hi: Column, stops: list[tuple[float, float, float]]) -> list[Column]:

@@ -166,12 +166,6 @@ def neighbor_elements_k2(spark, d):
     return G.ring(incidence(spark, d), [7], 2)
 
 
-@query(f"WITH {_INC} SELECT DISTINCT b.node FROM i a JOIN i b ON a.element = b.element WHERE a.node = 42 AND b.node <> 42")
-def neighbor_nodes(spark, d):
-    inc = incidence(spark, d)
-    return G.nodes_of_any(inc, inc.where("node = 42").select("element")).where("node <> 42")
-
-
 _QUADS = "q AS (SELECT vec_id AS cell, [vec_id, vec_id + 1, vec_id + 21, vec_id + 20] AS n FROM embeddings WHERE vec_id % 20 < 19)"
 
 

@@ -65,9 +65,9 @@ def pivot_states_labels(spark, d):
     return p.select("state", *[r(F.col(f"`{k}`")).alias(str(k)) for k in (1, 2, 3)])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, component, round(value, 4) + 0.0 AS value FROM (SELECT l_orderkey, l_linenumber, l_partkey, unnest(['l_quantity', 'l_discount', 'l_tax']) AS component, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem WHERE l_orderkey < 500)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, component, round(value, 4) + 0.0 AS value FROM (SELECT l_orderkey, l_linenumber, l_partkey, unnest(['l_quantity', 'l_discount', 'l_tax']) AS component, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem)")
 def unpivot(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 500")
+    li = table(spark, d, "lineitem")
     out = U.unpivoted(li, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_discount", "l_tax"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "component", r("value").alias("value"))
 

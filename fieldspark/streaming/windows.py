@@ -1,4 +1,4 @@
-"""Event-time windows that run alike on a stream and on a batch; a watermark bounds the state on a stream."""
+"""Event-time windows on streams and batches. On a stream a watermark bounds the state: rows later than ``LATE`` are dropped there, and no others."""
 
 from __future__ import annotations
 
@@ -21,5 +21,6 @@ def sessions(df: DataFrame, gap: str, key: str, column: str = "ts") -> DataFrame
 
 
 def deduplicated(df: DataFrame, keys: list[str], column: str = "ts") -> DataFrame:
+    """A row of each key. A stream forgets a key once the watermark has passed it by ``LATE``, so it may come again after that; a batch keeps one row."""
     out = timed(df, column)
     return out.dropDuplicatesWithinWatermark(keys) if df.isStreaming else out.dropDuplicates(keys)

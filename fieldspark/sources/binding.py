@@ -41,7 +41,7 @@ SUBRECORDS = [
     Subrecord("shell_rec", "shell", ("grid", "sn")), Subrecord("mat_rec", "mat", ("matcg",)),
 ]
 PARAMETERS = [
-    Parameter("mesh dimensions", 3, "MILI"), Parameter("code_name", "field"), Parameter("nproc", FRAGS), Parameter("title", "first"), Parameter("Element Set 1", (1, 2, 3, 4, 4), "TI"), Parameter("title", "last"), Parameter("host name", "here"),
+    Parameter("mesh dimensions", 3, "RUN"), Parameter("code_name", "field"), Parameter("nproc", FRAGS), Parameter("title", "first"), Parameter("Element Set 1", (1, 2, 3, 4, 4), "TI"), Parameter("title", "last"), Parameter("host name", "here"),
 ]
 STATES = [StateRecord(s, s * s / 2.0, (s - 1) // 2, (s - 1) % 2 * 1000) for s in range(1, MESH_STATES + 1)]
 

@@ -8,6 +8,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +19,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Java pattern of the characters that separate words: space, tab, line feed, vertical tab, form feed, return.
 WORD_GAP = "[ \\t-\\r]+"
 
-#: Bytes of the Bloom filters that spare most rows the way through a shuffle: fixed, so their broadcast is bounded.
-BLOOM_BYTES = 1 << 22
+#: Bits, at most, of the Bloom filters that spare most rows the way through a shuffle, and the bits of a slice (as a power of two).
+BLOOM_BITS, _SLICE = 1 << 28, 16
 
 _OWN: list[tempfile.TemporaryDirectory] = []
 _SCRATCH: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a temporary one in local mode (tests), else an error: executors would not share it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.TemporaryDirectory(prefix="fieldspark-", ignore_cleanup_errors=True)
         _OWN.append(own)
         atexit.register(own.cleanup)
@@ -151,22 +154,26 @@ def split_blocks(block: np.ndarray, *columns: np.ndarray):
             yield int(block[a]), pack(*(c[a:b] for c in columns))
 
 
-def blocks_of(batches, *dtypes: str):
-    """(block, columns) for each block of an exchanged partition, which is sorted by block: one block in memory at a time."""
-    at, held = None, []
+def chunks_of(batches, *dtypes: str, most: int = 1 << 21):
+    """(block, whether it ends, columns) of an exchanged partition, which is sorted by block: at most about ``most`` rows in memory at once."""
+    at, held, size = None, [], 0
 
     def joined():
-        return [np.concatenate(c) for c in zip(*held, strict=True)]
+        return [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.empty(0, t) for t in dtypes]
 
     for batch in batches:
         for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if block != at and held:
-                yield at, joined()
-                held = []
+            if block != at and at is not None:
+                yield at, True, joined()
+                held, size = [], 0
+            elif size >= most:
+                yield at, False, joined()
+                held, size = [], 0
             at = block
             held.append(unpack(payload.as_py(), *dtypes))
-    if held:
-        yield at, joined()
+            size += len(held[-1][0])
+    if at is not None:
+        yield at, True, joined()
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,29 +213,76 @@ def sliced(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def bloom_bits(keys: int) -> int:
+    """Bits of a filter: sixteen for each key, as a power of two between 2**20 and ``BLOOM_BITS``, so its broadcast is bounded."""
+    return min(BLOOM_BITS, max(1 << 20, 1 << (16 * keys - 1).bit_length() if keys else 0))
+
+
+def _places(k: np.ndarray, bits: int):
+    k = mix(k.astype(np.int64).view(np.uint64))
+    for salt in (0, 21, 40):
+        yield ((k >> np.uint64(salt)) ^ (k << np.uint64(64 - salt) if salt else np.uint64(0))) & np.uint64(bits - 1)
+
+
 def bloom(keys: DataFrame, column: str) -> bytes:
-    """A filter of a fixed size over a column of longs: no false negatives, and more false positives as it fills."""
+    """A filter over a column of longs: no false negatives, and more false positives where its bound is reached.
+
+    Each task gives the slices that it has set; slices are put together by their number, and the driver joins them.
+    """
+    bits = bloom_bits(keys.count())
 
     def run(batches):
-        bits = np.zeros(BLOOM_BYTES, np.uint8)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            k = mix(batch.column(0).drop_null().to_numpy().astype(np.int64).view(np.uint64))
-            for salt in (0, 32):
-                at = (k >> np.uint64(salt)) % np.uint64(BLOOM_BYTES * 8)
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
-
-    total = np.zeros(BLOOM_BYTES, np.uint8)
-    for row in keys.select(F.col(column).cast("long").alias("k")).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row.bits, np.uint8)
+            k = batch.column(0).drop_null().to_numpy()
+            for at in _places(k, bits):
+                at = np.unique(at)
+                part = (at >> np.uint64(_SLICE)).astype(np.int64)
+                start, length = runs(part)
+                for a, n in zip(start, length, strict=True):
+                    own = held.setdefault(int(part[a]), np.zeros(1 << (_SLICE - 3), np.uint8))
+                    low = at[a : a + n] & np.uint64((1 << _SLICE) - 1)
+                    np.bitwise_or.at(own, (low >> np.uint64(3)).astype(np.int64), (1 << (low & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        for k, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())], names=["part", "bits"])
+
+    def merged(batches):
+        at, own = None, None
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(zlib.decompress(raw), np.uint8)
+                if part == at:
+                    own = own | v
+                    continue
+                if at is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "bits"])
+                at, own = part, v
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "bits"])
+
+    slices = keys.select(F.col(column).cast("long").alias("k")).mapInArrow(released(run), "part int, bits binary")
+    total = np.zeros(bits >> 3, np.uint8)
+    for row in slices.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "part int, bits binary").toLocalIterator():
+        v = np.frombuffer(row.bits, np.uint8)
+        total[row.part << (_SLICE - 3) : (row.part << (_SLICE - 3)) + len(v)] = v
     return total.tobytes()
 
 
-def maybe(bits: bytes, k: np.ndarray) -> np.ndarray:
-    held = np.frombuffer(bits, np.uint8)
-    k = mix(k.astype(np.int64).view(np.uint64))
+def maybe(filled: bytes, k: np.ndarray) -> np.ndarray:
+    held = np.frombuffer(filled, np.uint8)
     out = np.ones(len(k), bool)
-    for salt in (0, 32):
-        at = (k >> np.uint64(salt)) % np.uint64(BLOOM_BYTES * 8)
+    for at in _places(k, len(held) << 3):
         out &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return out
+
+
+def matched(rows: DataFrame, names: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``names`` (one row for each key, with the number of its rows in ``count``, which is dropped).
+
+    At most a thousand keys can stand in more than a thousandth of all ``total`` rows, so these names are broadcast; the
+    rows of all others meet their names in a shuffle, none of whose keys has more rows than that.
+    """
+    often = max(1, total // 1000)
+    hot = F.broadcast(names.where(F.col(count) > often).drop(count))
+    rest = names.where(F.col(count) <= often).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, "left"), allowMissingColumns=True)

@@ -6,21 +6,23 @@ of ``ROWS`` bins give ``BANDS`` posting keys, which find a pair at the threshold
 verified by exact Jaccard of their shingle sets and joined by union-find (``linking``). Of each component the first line
 by (doc_id, line number) stays; all others go from their documents.
 
-Lines without a character other than white space are no lines of a component and stay. Null and empty texts, and rows
-with a null doc_id, stay as they are. Rows that share a doc_id count as one document, so repeated rows keep the same
-lines. A document all of whose lines go is left out by ``dedup_lines``, as nothing of it remains. Lines of any length
-are hashed whole.
+A line is named by 64 bits; copies are told by 64 bits more. Lines without a character other than white space are no
+lines of a component and stay. Null and empty texts, and rows with a null doc_id, stay as they are. Rows that share a
+doc_id count as one document, so repeated rows keep the same lines; ties go to the least (doc_id, line number). A document
+all of whose lines go is left out by ``dedup_lines``, as nothing of it remains. Lines and texts of any length are hashed
+whole. An empty table gives no rows. Columns of any name may stand beside the id and the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, blocks_of, bloom, exchange, fresh, maybe, mix, released, repeated, runs, scratch, sliced, split_blocks, stored
-from .linking import link
+from .common import block_count, bloom, exchange, fresh, matched, maybe, mix, released, scratch, sliced, split_blocks, stored
+from .linking import MET, link, met
 
 #: Characters in a shingle, percent of Jaccard similarity, bands and MinHash values in a band.
 WIDTH, PERCENT, BANDS, ROWS = 7, 80, 10, 4
@@ -35,8 +37,10 @@ def normal(line: str) -> str:
     return low if low.isprintable() and "  " not in low else " ".join(low.split())
 
 
-def node_of(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+def names_of(line: str) -> tuple[int, int]:
+    """A line's name and its proof, as two signed 64-bit integers."""
+    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
 def char_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,75 +104,58 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def line_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, line, node), and (node, root) of the nodes with a link."""
+    """Lines (doc_id, line, node, proof), and (node, proof, place, n, root) of each distinct line: its first place, its rows and its component."""
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
     blocks = block_count(base)
 
     def first(batches):
         for batch in sliced(batches, 512):
-            ids, places, nodes, distinct = [], [], [], {}
+            ids, places, nodes, proofs, texts, distinct = [], [], [], [], [], {}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for at, raw in enumerate(t.as_py().split("\n")):
                     if line := normal(raw):
-                        k = node_of(line)
+                        node, proof = names_of(line)
                         ids.append(i)
                         places.append(at)
-                        nodes.append(k)
-                        distinct.setdefault(k, line)
+                        nodes.append(node)
+                        proofs.append(proof)
+                        texts.append(None if node in distinct else line)  # once in a batch
+                        distinct.setdefault(node, line)
             names = list(distinct)
             sig = [signatures(*char_hashes([distinct[k] for k in part])) for part in _parts(names, distinct)]
             keys = band_keys(np.concatenate(sig)).ravel() if sig else np.empty(0, np.uint64)
             node = np.repeat(np.array(names, np.int64), BANDS)
-            chunks = list(split_blocks(((keys >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), keys, node))
+            chunks = list(split_blocks(((keys >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), keys, node, np.zeros(len(node), np.uint32)))
             m, k = len(ids), len(chunks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids + [None] * k, pa.int64()), pa.array(places + [None] * k, pa.int32()), pa.array(nodes + [None] * k, pa.int64()), pa.array([None] * m + [b for b, _ in chunks], pa.int32()), pa.array([None] * m + [p for _, p in chunks], pa.binary())],
-                names=["doc_id", "line", "node", "block", "payload"],
+                [
+                    pa.array(ids + [None] * k, pa.int64()), pa.array(places + [None] * k, pa.int32()), pa.array(nodes + [None] * k, pa.int64()), pa.array(proofs + [None] * k, pa.int64()), pa.array(texts + [None] * k, pa.string()),
+                    pa.array([None] * m + [b for b, _ in chunks], pa.int32()), pa.array([None] * m + [p for _, p in chunks], pa.binary()),
+                ],
+                names=["doc_id", "line", "node", "proof", "text", "block", "payload"],
             )
 
-    table = stored(base.mapInArrow(released(first), "doc_id long, line int, node long, block int, payload binary"), "lines")
-    lines = table.where("node is not null").select("doc_id", "line", "node")
-
-    def lists(batches):
-        for _, (key, node) in blocks_of(batches, "<u8", "<i8"):
-            key, node = repeated(key, node)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))) if len(key) else np.empty(0, np.int64)
-            often = np.diff(np.append(new, len(key)))  # batches that hold the line
-            key, node = key[new], node[new]
-            # the hub is the line met most often, the middle of a group; ties to the least name
-            order = np.lexsort((node, -often, key))
-            key, node = key[order], node[order]
-            start, length = runs(key)
-            hub = node[np.repeat(start, length)]
-            keep = np.repeat(length, length) > 1
-            zero = np.zeros(int(keep.sum()), np.int64)
-            cols = [key[keep].view(np.int64), node[keep], zero, zero, hub[keep], zero, zero]
-            for at in range(0, len(zero), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536]) for c in cols], names=["key", "node", "n", "u", "hub", "hub_n", "hub_u"])
-
-    postings = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(released(lists), "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
-    nodes = postings.select("node").distinct()
+    table = stored(base.mapInArrow(released(first), "doc_id long, line int, node long, proof long, text string, block int, payload binary"), "lines")
+    lines = table.where("node is not null").select("doc_id", "line", "node", "proof")
+    lists = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(released(met), MET), "lists")
+    nodes = stored(lists.select("node").unionByName(lists.select(F.col("hub").alias("node"))).distinct(), "nodes")
     bits = docs.sparkSession.sparkContext.broadcast(bloom(nodes, "node"))
 
-    def wanted(batches):
-        """Lines that the lists may hold, each once in a batch."""
-        for batch in sliced(batches, 512):
-            found: dict[int, str] = {}
-            for t in batch.column(0):
-                for raw in t.as_py().split("\n"):
-                    if line := normal(raw):
-                        found[node_of(line)] = line
-            k = np.fromiter(found, np.int64, len(found))
-            keep = maybe(bits.value, k)
-            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array([x for x, y in zip(found.values(), keep, strict=True) if y], pa.string())], names=["node", "payload"])
+    @F.pandas_udf("boolean")
+    def wanted(ids):
+        return pd.Series(maybe(bits.value, ids.to_numpy()))
 
-    sets = base.select("text").mapInArrow(released(wanted), "node long, payload string").groupBy("node").agg(F.min("payload").alias("payload"))
-    sets = stored(sets.join(nodes, "node", "left_semi"), "candidates")
+    # of lines that share a name and are not equal, one takes part: the least by its proof
+    texts = table.where("text is not null").select("node", "proof", "text").where(wanted("node"))
+    chosen = texts.groupBy("node").agg(F.min(F.struct("proof", "text")).alias("x")).select("node", "x.proof", F.col("x.text").alias("payload"))
+    sets = stored(chosen.join(nodes, "node", "left_semi"), "candidates")
 
     # distinct shingles are not counted beforehand, so sizes bound nothing here and every pair is verified
-    return lines, link(postings, sets, shingle_sets, percent)
+    roots = link(lists, sets.select("node", "payload"), shingle_sets, percent, way="within").join(sets.select("node", "proof"), "node")
+    # (doc_id, line) as one number, as hash aggregation takes the least of a number and not of a struct
+    place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    classes = lines.groupBy("node", "proof").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    return lines, classes.join(roots, ["node", "proof"], "left")
 
 
 def _parts(names: list[int], lines: dict[int, str], most: int = 1 << 16):
@@ -186,16 +173,17 @@ def _parts(names: list[int], lines: dict[int, str], most: int = 1 << 16):
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, gone): the numbers of the lines that another line stands for, of each document that has any."""
-    lines, roots = line_components(docs, percent, id_column, text)
-    # only nodes that stand twice or have a link can lose a line
-    lines = lines.join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root"))
-    lines = stored(lines, "rooted")
-    # (doc_id, line) as one number, as hash aggregation takes the least of a number and not of a struct
+    lines, classes = line_components(docs, percent, id_column, text)
+    classes = stored(classes, "classes")
+    linked = classes.where("root is not null")
+    first = linked.groupBy("root").agg(F.min("place").alias("first"))
+    linked = linked.join(first, "root").select("node", "proof", "n", "first")
+    # only lines that stand twice or have a link can lose a row
+    names = stored(linked.unionByName(classes.where("root is null and n > 1").select("node", "proof", "n", F.col("place").alias("first"))), "names")
+    key = F.struct("node", "proof")
     place = F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    lines = lines.withColumn("place", place)
-    first = lines.groupBy("root").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("root", "first")
-    gone = lines.join(first, "root").where("place <> first")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    named = matched(lines.select("doc_id", "line", key.alias("key")), names.select(key.alias("key"), "n", "first"), "key", "n", lines.count())
+    return named.where(place != F.col("first")).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def marked(docs: DataFrame, percent: int, id_column: str, text: str, gone: str, out: str) -> DataFrame:
@@ -214,9 +202,11 @@ def marked(docs: DataFrame, percent: int, id_column: str, text: str, gone: str,
 
         return texts.combine(gones, one)
 
+    own = F.col(f"`{text}`")
     # the table grows with the corpus, so it is merged at every size and never broadcast
-    joined = docs.join(table.select(F.col("doc_id").alias(key), F.col("gone").alias(gone)).hint("merge"), F.col(id_column).cast("long") == F.col(key), "left").drop(key)
-    return joined.withColumn(out, F.when(F.col(gone).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(gone))))
+    joined = docs.join(table.select(F.col("doc_id").alias(key), F.col("gone").alias(gone)).hint("merge"), F.col(f"`{id_column}`").cast("long") == F.col(key), "left").drop(key)
+    # texts that lose nothing do not go to Python
+    return joined.withColumn(out, F.when(F.col(gone).isNull(), own).otherwise(without(F.when(F.col(gone).isNotNull(), own), F.col(gone))))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +219,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_i
 def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_kept, text) of every document, texts without the lines that go."""
     base = docs.select("doc_id", "text")
-    df = marked(base, PERCENT, "doc_id", "text", "gone", "left")
+    gone, left = fresh(base, "gone", "left")
+    df = marked(base, PERCENT, "doc_id", "text", gone, left)
     n = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("long")
-    lost = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
-    return df.select("doc_id", n.alias("n_lines"), (n - lost).cast("long").alias("n_kept"), F.col("left").alias("text"))
+    lost = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone))
+    return df.select("doc_id", n.alias("n_lines"), (n - lost).cast("long").alias("n_kept"), F.col(left).alias("text"))

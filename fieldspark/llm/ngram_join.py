@@ -1,145 +1,151 @@
 """N-gram Jaccard self-join: a blocked sparse product of the document by n-gram incidence matrix.
 
-The matrix is cut into blocks of columns (ranges of n-gram hashes); a task holds one block at a time. Equal sets are one
-row from the start (a row is named by a hash of its whole set), so exact copies never multiply.
-
-1. On a part of the n-grams (a fourth at 90 %), column counts give for each row the number u of its n-grams that no other row has. A row
-   of n n-grams with similarity t to another has at most n - ceil(t n) that the other lacks, so rows with more drop out.
-2. Over all n-grams of the rows left, columns are counted again. Each row keeps its rarest columns, up to that same
-   bound and one more: two rows above the threshold meet in at least one of these (prefix filter, exact).
-3. Rows that meet are paired with the list's hub, then across components (``linking``), if their sizes and the places
-   of the column among their own, rarest first, leave the threshold within reach: at the first column in common, all
-   before it is not shared. Pairs left are verified by counting their whole overlap.
-
-Documents without words, and null texts, have an empty set and are linked with nothing. Rows with a null doc_id keep
-a null component and link nothing. Repeated doc_ids and equal texts share a component by their texts.
+Equal sets are one row of the matrix (a row is named by a hash of its whole set), so exact copies never multiply.
+
+1. Which products are wanted. Rows above the threshold differ in at most k columns, by their sizes. The columns are dealt
+   into more than k + 1 groups by hash, the same for all rows of like size; then at least one group that holds columns is
+   the same in both rows. So each row gives the hashes of its k + 1 fullest groups (``signature``), once for the rows of
+   its own class of sizes and once for those of the next, and only rows that meet in one are multiplied. This is exact,
+   and a hash over several n-grams is rare however common each of them is, so the lists stay short at any size.
+2. The products. Overlaps of a row with a block of others are added up over blocks of columns, and a row drops out as soon
+   as what is left cannot reach the bound from the sizes; ``linking`` does so for each list's hub, contracts, and splits
+   what is still apart by the rarest n-grams.
+
+A row is named by 64 bits; copies are told by 64 bits more. Documents without words, and null texts, have an empty set and
+are linked with nothing. Rows with a null doc_id keep a null component and link nothing. Repeated doc_ids and equal texts
+share a component by their texts; ties go to the least doc_id. Texts of any length are taken whole; an empty table gives
+no rows. Columns of any name may stand beside the id and the text.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import block_count, blocks_of, bloom, exchange, maybe, released, repeated, runs, scratch, shingles, sliced, split_blocks, stored
-from .linking import link
+from .common import block_count, bloom, exchange, fresh, matched, maybe, mix, released, runs, scratch, shingles, sliced, split_blocks, stored
+from .linking import MET, link, met
 
 WIDTH, PERCENT = 3, 90
 
-_POSTING = ("<u8", "<u8", "<u4", "<u4")  # n-gram, row, row's size, row's emitted n-grams (stage 1) or unused
-_NODE = ("<u8", "<u4", "<u4", "<u4")  # row, its size, its emitted n-grams, those that other rows have
-_CHUNK = "block int, payload binary"
-
-
-def node_of(s: np.ndarray) -> int:
-    """A row's name: a hash of its whole set, as a signed 64-bit integer."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-
+_SALT = np.uint64(0xA0761D6478BD642F)
 
-def slack(n, percent: int):
-    """Members that a set of n may have beyond another at the threshold: n - ceil(n * percent / 100)."""
-    return n - (n * percent + 99) // 100
 
+def names_of(s: np.ndarray) -> tuple[int, int]:
+    """A row's name and its check: a hash of its whole set, as two signed 64-bit integers."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
-def _block(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
 
-
-def _emit(sets: dict[int, np.ndarray], chosen, blocks: int):
-    """Chunks of postings of the rows in ``sets``; ``chosen`` picks a row's n-grams."""
-    h, node, n, e = [], [], [], []
-    for k, s in sets.items():
-        c = chosen(s)
-        h.append(c)
-        node.append(np.full(len(c), k + (1 << 63), np.uint64))
-        n.append(np.full(len(c), len(s), np.uint32))
-        e.append(np.full(len(c), len(c), np.uint32))
-    if h:
-        h = np.concatenate(h)
-        yield from split_blocks(_block(h, blocks), h, np.concatenate(node), np.concatenate(n), np.concatenate(e))
-
-
-def _shared(batches, dtypes):
-    """For each block: the columns, sorted by n-gram and row without repeats, of n-grams in two rows or more, and the column count of each."""
-    for _, (h, node, *more) in blocks_of(batches, *dtypes):
-        h, node, *more = repeated(h, node, *more)
-        order = np.lexsort((node, h))
-        h, node = h[order], node[order]
-        more = [m[order] for m in more]
-        new = np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
-        h, node, more = h[new], node[new], [m[new] for m in more]
-        _, length = runs(h)
-        count = np.repeat(length, length)
-        keep = count > 1
-        yield h[keep], node[keep], [m[keep] for m in more], count[keep]
+def node_of(s: np.ndarray) -> int:
+    return names_of(s)[0]
 
 
-def _shared_counts(blocks: int):
-    """From chunks dealt out by column: each row's n-grams in a block that other rows have too, dealt out by row."""
+class Sizes:
+    """Classes of set sizes: a set of one class is similar to sets of the same and of the next ones above and below only."""
 
-    def run(batches):
-        for h, node, (n, e), _ in _shared(batches, _POSTING):
-            if len(h):
-                k, at, c = np.unique(node, return_index=True, return_counts=True)
-                yield from _chunks(split_blocks((k % np.uint64(blocks)).astype(np.int64), k, n[at], e[at], c.astype(np.uint32)))
+    def __init__(self, percent: int, largest: int = 1 << 40):
+        self.percent = percent
+        # smaller sets only link with equal ones
+        self.smallest = next((n for n in range(1, 101) if n * 100 >= percent * (n + 1)), largest)
+        self.low, self.high = [], []
+        at = self.smallest
+        while at < largest:
+            self.low.append(at)
+            self.high.append(at * 100 // percent)
+            at = self.high[-1] + 1
 
-    return run
+    def differ(self, n: int, m: int) -> int:
+        """The most columns in which sets of n and m at the threshold differ."""
+        return (100 - self.percent) * (n + m) // (100 + self.percent)
 
+    def groups(self, j: int) -> int:
+        """Groups of columns of the j-th class: some more than could differ, so that the emptiest need not count."""
+        k = self.differ(self.high[j], self.high[j]) + 1
+        return k + k // 4 + 2
 
-def _alone(batches):
-    """For each block of rows: the rows with a shared n-gram, their sizes, and the emitted n-grams that no other row has."""
-    for _, (node, n, e, c) in blocks_of(batches, *_NODE):
-        k, at, of = np.unique(node, return_index=True, return_inverse=True)
-        yield k, n[at].astype(np.int64), e[at].astype(np.int64) - np.bincount(of, c).astype(np.int64)
 
+def signature(s: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """Hashes of groups of the set's columns: of two sets at the threshold some are the same.
 
-def _signed(node: np.ndarray) -> np.ndarray:
-    return (node ^ np.uint64(1 << 63)).view(np.int64)
+    A group is used if it has c columns or more, with the largest c that leaves one more than may differ. Of two sets the
+    one with the larger c has an untouched group among its own, which the other uses as well.
+    """
+    n = len(s)
+    if n < sizes.smallest:
+        return np.empty(0, np.uint64)
+    own = bisect.bisect_right(sizes.low, n) - 1
+    most = n * 100 // sizes.percent  # columns of the largest set that is similar
+    h, top = mix(s ^ _SALT), s >> np.uint64(32)
+    out = []
+    for j in (own, own + 1):
+        if most < sizes.low[j]:
+            continue
+        groups, wanted = sizes.groups(j), sizes.differ(n, min(most, sizes.high[j])) + 1
+        group = (top * np.uint64(groups)) >> np.uint64(32)  # in order, as the set is sorted
+        start, length = runs(group)
+        value = np.add.reduceat(h, start)
+        name = group[start]
+        if len(start) < wanted:  # empty groups count as well: both sets may have them in common only
+            empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), name)
+            name, value = np.concatenate([name, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
+        else:
+            use = length >= np.partition(length, len(length) - wanted)[len(length) - wanted]
+            name, value = name[use], value[use]
+        out.append(mix(value ^ mix(name | np.uint64(j << 40))))
+    return np.concatenate(out)
+
+
+def _postings(sets: dict[int, np.ndarray], sizes: Sizes, blocks: int):
+    """Chunks of postings (key, node, n) of the rows in ``sets``, dealt out by key."""
+    keys = [signature(s, sizes) for s in sets.values()]
+    m = [len(k) for k in keys]
+    if sum(m):
+        key = np.concatenate(keys)
+        node = np.repeat(np.fromiter(sets, np.int64, len(sets)), m)
+        n = np.repeat(np.fromiter(map(len, sets.values()), np.uint32, len(sets)), m)
+        yield from split_blocks(((key >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64), key, node, n)
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, node) for each document, node null for empty sets; and (node, root) of linked rows."""
+    """Rows (doc_id, n_shingles, node, proof) for each document, node null for empty sets; and (node, proof, least, n, linked, root, root_proof) of the distinct rows of documents with an id."""
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = block_count(base)
-    smallest = next(n for n in range(1, 1000) if n * 100 >= percent * (n + 1))  # smaller sets only link with equal ones
-
-    # the part must exceed the slack for rows to drop out; a row that has too few n-grams in it adds others
-    part = max(1, int(100 / (2.5 * max(1, 100 - percent))))
-
-    def sampled(s: np.ndarray) -> np.ndarray:
-        own = (s >> np.uint64(7)) % np.uint64(part) == 0
-        lack = slack(len(s), percent) + 1 - int(own.sum())
-        return np.concatenate([s[own], s[~own][:lack]]) if lack > 0 else s[own]
+    blocks, sizes = block_count(base), Sizes(percent)
 
     def first(batches):
         for batch in sliced(batches, 1024):
-            ids, nodes, sizes, sets = batch.column(0).to_pylist(), [], [], {}
+            ids, nodes, proofs, counts, sets = batch.column(0).to_pylist(), [], [], [], {}
             for i, t in zip(ids, batch.column(1), strict=True):
                 s = shingles(t.as_py(), width)
-                k = node_of(s) if len(s) else None
-                nodes.append(k)
-                sizes.append(len(s))
-                if i is not None and len(s) >= smallest:
-                    sets.setdefault(k, s)
-            chunks = list(_emit(sets, sampled, blocks))
-            m = len(chunks)
+                node, proof = names_of(s) if len(s) else (None, None)
+                nodes.append(node)
+                proofs.append(proof)
+                counts.append(len(s))
+                if i is not None and len(s):
+                    sets.setdefault(node, s)
+            chunks = list(_postings(sets, sizes, blocks))
+            m, k = len(ids), len(chunks)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids + [None] * m, pa.int64()), pa.array(nodes + [None] * m, pa.int64()), pa.array(sizes + [None] * m, pa.int64()), pa.array([None] * len(ids) + [b for b, _ in chunks], pa.int32()), pa.array([None] * len(ids) + [p for _, p in chunks], pa.binary())],
-                names=["doc_id", "node", "n_shingles", "block", "payload"],
+                [
+                    pa.array(ids + [None] * k, pa.int64()), pa.array(nodes + [None] * k, pa.int64()), pa.array(proofs + [None] * k, pa.int64()), pa.array(counts + [None] * k, pa.int64()),
+                    pa.array([None] * m + [b for b, _ in chunks], pa.int32()), pa.array([None] * m + [p for _, p in chunks], pa.binary()),
+                ],
+                names=["doc_id", "node", "proof", "n_shingles", "block", "payload"],
             )
 
-    table = stored(base.mapInArrow(released(first), "doc_id long, node long, n_shingles long, block int, payload binary"), "incidence")
-    rows = table.where("n_shingles is not null").select("doc_id", "n_shingles", "node")
-
-    def survivors(batches):
-        for node, n, alone in _alone(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(node[alone <= slack(n, percent)]))], names=["node"])
+    table = stored(base.mapInArrow(released(first), "doc_id long, node long, proof long, n_shingles long, block int, payload binary"), "incidence")
+    rows = table.where("n_shingles is not null").select("doc_id", "n_shingles", "node", "proof")
+    classes = stored(rows.where("doc_id is not null and node is not null").groupBy("node", "proof").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    lists = stored(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(released(met), MET), "lists")
 
-    by_row = exchange(exchange(table.where("block is not null").select("block", "payload"), blocks).mapInArrow(released(_shared_counts(blocks)), _CHUNK), blocks)
-    left = by_row.mapInArrow(released(survivors), "node long")
-    left = stored(rows.where("doc_id is not null").join(left, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "left")
+    nodes = lists.select("node").unionByName(lists.select(F.col("hub").alias("node"))).distinct()
+    # of rows that share a name and are not equal, one takes part: the least by its proof
+    chosen = stored(classes.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("proof").alias("proof")), "chosen")
+    left = stored(chosen.join(classes, ["node", "proof"]).select(F.col("least").alias("doc_id"), "node", "proof"), "left")
     bits = docs.sparkSession.sparkContext.broadcast(bloom(left, "doc_id"))
 
     @F.pandas_udf("boolean")
@@ -150,118 +156,74 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
     def second(batches):
         for batch in sliced(batches, 512):
             found: dict[int, np.ndarray] = {}
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for node, proof, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingles(t.as_py(), width)
-                if k not in found and node_of(s) == k:  # a repeated doc_id may bring other texts
-                    found[k] = s
+                if node not in found and len(s) and names_of(s) == (node, proof):  # a repeated doc_id may bring other texts
+                    found[node] = s
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["node", "payload"])
 
-    sets = stored(base.where(wanted("doc_id")).join(left, "doc_id").select("node", "text").mapInArrow(released(second), "node long, payload binary").dropDuplicates(["node"]), "sets")
-
-    def all_postings(batches):
-        for batch in sliced(batches, 2048):
-            yield from _chunks(_emit({k: np.frombuffer(p.as_py(), np.uint64) for k, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}, lambda s: s, blocks))
-
-    def to_rows(batches):
-        """Columns in two rows or more, dealt out by row."""
-        for h, node, (n, _), count in _shared(batches, _POSTING):
-            if len(h):
-                yield from _chunks(split_blocks((node % np.uint64(blocks)).astype(np.int64), node, h, n, np.minimum(count, 0xFFFFFFFF).astype(np.uint32)))
-
-    def prefixes(batches):
-        """Each row's rarest columns, as far as the bound and one more, dealt out by column."""
-        for _, (node, h, n, count) in blocks_of(batches, "<u8", "<u8", "<u4", "<u4"):
-            order = np.lexsort((h, count, node))
-            node, h, n = node[order], h[order], n[order].astype(np.int64)
-            start, length = runs(node)
-            alone = n[start] - length  # n-grams that no other row has: the rarest of all
-            may = slack(n[start], percent) + 1 - alone
-            place = np.arange(len(node)) - np.repeat(start, length)
-            keep = place < np.repeat(may, length)
-            at = (np.repeat(alone, length) + place)[keep].astype(np.uint32)
-            if keep.any():
-                yield from _chunks(split_blocks(_block(h[keep], blocks), h[keep], node[keep], n[keep].astype(np.uint32), at))
-
-    def lists(batches):
-        for h, node, (n, u), _ in _shared(batches, _POSTING):
-            if not len(h):
-                continue
-            order = np.lexsort((node, u, h))  # the hub has the fewest rarer n-grams: the middle of a group
-            h, node, n, u = h[order], node[order], n[order], u[order]
-            start, length = runs(h)
-            hub = np.repeat(start, length)
-            cols = [h.view(np.int64), _signed(node), n.astype(np.int64), u.astype(np.int64), _signed(node[hub]), n[hub].astype(np.int64), u[hub].astype(np.int64)]
-            for a in range(0, len(h), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 65536]) for c in cols], names=["key", "node", "n", "u", "hub", "hub_n", "hub_u"])
-
-    by_column = exchange(sets.mapInArrow(released(all_postings), _CHUNK), blocks)
-    by_row = exchange(by_column.mapInArrow(released(to_rows), _CHUNK), blocks)
-    meeting = exchange(by_row.mapInArrow(released(prefixes), _CHUNK), blocks)
-    postings = stored(meeting.mapInArrow(released(lists), "key long, node long, n long, u long, hub long, hub_n long, hub_u long"), "lists")
+    sets = stored(base.where(wanted("doc_id")).join(left, "doc_id").select("node", "proof", "text").mapInArrow(released(second), "node long, payload binary").dropDuplicates(["node"]), "sets")
 
     def members(payloads: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(p, np.uint64) for p in payloads]
 
-    return rows, link(postings, sets, members, percent)
-
-
-def _chunks(pairs):
-    """Record batches of (block, payload), a few hundred rows each."""
-    held: list[tuple[int, bytes]] = []
-    for x in pairs:
-        held.append(x)
-        if len(held) >= 256:
-            yield _batch(held)
-            held = []
-    if held:
-        yield _batch(held)
-
-
-def _batch(held):
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int32()), pa.array([p for _, p in held], pa.binary())], names=["block", "payload"])
+    roots = link(lists, sets, members, percent).join(chosen, "node")
+    own = classes.join(roots, ["node", "proof"], "left")
+    # a linked row belongs to its root's name, any other to its own name and proof
+    linked = F.col("root").isNotNull()
+    return rows, own.select("node", "proof", "least", "n", linked.alias("linked"), F.coalesce("root", "node").alias("root"), F.when(linked, F.lit(0)).otherwise(F.col("proof")).alias("root_proof"))
 
 
 def _components(docs: DataFrame, width: int, percent: int, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, node) and, for each node of a row with an id, (node, component_id, root)."""
+    """Rows (doc_id, n_shingles, node, proof) and, for each (node, proof) of a row with an id, (component_id, n, linked, root, root_proof)."""
     with scratch(docs.sparkSession):
-        rows, roots = join(docs, width, percent, id_column, text)
-        nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-        named = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        names = stored(named.join(least, "root").select("node", "component_id", "root"), "names", keep=True)
+        rows, classes = join(docs, width, percent, id_column, text)
+        classes = stored(classes, "named")
+        least = classes.groupBy("root", "root_proof").agg(F.min("least").alias("component_id"))
+        names = stored(classes.join(least, ["root", "root_proof"]).drop("least"), "names", keep=True)
         return stored(rows, "rows", keep=True), names
 
 
 def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``; a component is named by its least doc_id."""
     rows, names = _components(docs, width, percent, id_column, text)
-    # copies share a node, which may hold a third of all rows: adaptive skew joins split them
-    out = rows.join(names.select("node", "component_id"), "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    key = F.struct("node", "proof")
+    total = rows.count()
+    # a row that is alone is its own component; copies share a name, which may hold a third of all rows
+    names = names.where("n > 1 or linked")
+    out = matched(rows.withColumn("key", F.when(F.col("node").isNotNull(), key)), names.select(key.alias("key"), "component_id", "n"), "key", "n", total)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, one with the least id; rows without an id or without words stay. Columns as in ``docs``.
 
-    Of rows with that id the one with the least node stays, and of those the one with the least text.
+    Of rows with that id the one with the least node stays, and of those the one with the least text. Repeated rows are
+    copies of each other, so one stays.
     """
     rows, names = _components(docs, width, percent, id_column, text)
-    own = rows.where("doc_id is not null and node is not null").select("doc_id", "node").distinct()
-    own = stored(own.join(names, "node"), "own")
+    gone_id, several_id, row, doc_key, node_key = fresh(docs, "__gone", "__several", "__row", "__doc", "__node")
     # a doc_id in one row is told by its id alone; the rows of the others are told by their node too
     several = stored(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
-    first = own.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.*")
-    kept = stored(several.join(first, "doc_id"), "kept")
-    gone = stored(own.where("doc_id <> component_id").select("doc_id").union(several).distinct().select(F.col("doc_id").alias("__gone")), "gone")
+    own = names.where("n > 1 or linked")  # all others are alone
+    total = rows.count()
+    key = F.struct("node", "proof")
+    own = matched(rows.where("doc_id is not null and node is not null").select("doc_id", "node", key.alias("key")), own.select(key.alias("key"), "component_id", "root", "root_proof", "n"), "key", "n", total)
+    own = stored(own.where("component_id is not null").select("doc_id", "node", "component_id", "root", "root_proof").distinct(), "own")
+    alone = rows.where("doc_id is not null and node is not null").join(several, "doc_id", "left_semi").select("doc_id", "node").join(own, ["doc_id", "node"], "left_anti")
+    first = own.where("doc_id = component_id").groupBy("root", "root_proof").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.*")
+    kept = stored(several.join(first.unionByName(alone.distinct()), "doc_id"), "kept")
+    gone = stored(own.where("doc_id <> component_id").select("doc_id").union(several).distinct().select(F.col("doc_id").alias(gone_id)), "gone")
 
     @F.pandas_udf("long")
     def node(texts):
         sets = [shingles(t if isinstance(t, str) else None, width) for t in texts]
         return pd.Series([node_of(s) if len(s) else None for s in sets], dtype="Int64")
 
-    key = F.col(id_column).cast("long")
-    alone = docs.join(gone, key == F.col("__gone"), "left_anti")
-    again = docs.join(several.select(F.col("doc_id").alias("__id")), key == F.col("__id"), "left_semi").select(F.struct("*").alias("row"), key.alias("doc_id"), node(F.col(text)).alias("node"))
-    one = again.where("node is not null").join(kept, ["doc_id", "node"], "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", F.col("row")[text]).alias("row"))
-    return alone.unionByName(one.select("row.*")).unionByName(again.where("node is null").select("row.*"))
+    of = F.col(f"`{id_column}`").cast("long")
+    single = docs.join(gone, of == F.col(gone_id), "left_anti")
+    again = docs.join(several.select(F.col("doc_id").alias(several_id)), of == F.col(several_id), "left_semi").select(F.struct("*").alias(row), of.alias(doc_key), node(F.col(f"`{text}`")).alias(node_key))
+    kept = kept.select(F.col("doc_id").alias(doc_key), F.col("node").alias(node_key))
+    one = again.where(F.col(node_key).isNotNull()).join(kept, [doc_key, node_key], "left_semi").groupBy(doc_key, node_key).agg(F.min_by(row, F.col(row)[text]).alias(row))
+    return single.unionByName(one.select(f"{row}.*")).unionByName(again.where(F.col(node_key).isNull()).select(f"{row}.*"))

@@ -1,122 +1,181 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-The index holds a bounded, documented sample of labelled rows (``EXAMPLES``) in a bounded vocabulary (``TERMS``: the
-terms whose presence depends on the label by chi-squared), so its size has a fixed bound and it is broadcast. Scoring is
-a map over whole texts. Within the index the top-k is exact: blocks of examples are visited by decreasing upper bound
-(query weights times each block's largest weights) until no block can beat the k-th similarity. Similarity-weighted
-votes are calibrated by leave-one-out votes of the examples themselves, fitted to be monotone (pool adjacent violators).
-
-Null and empty texts get the calibrated score of examples without neighbours. With no
-labelled rows at all the score is 0.
+The index holds a bounded, documented sample of labelled rows (``EXAMPLES`` rows, ``EXAMPLE_BYTES`` of text) with all their
+words, so it is broadcast. Document frequencies are counted over all documents. A word weighs (1 + log tf) * idf *
+relevance, where relevance is 1 and grows with the word's chi-squared against the label over ``SIGNIFICANT``; vectors
+have a length of 1 in the space of the examples' words. (A document's other words would scale all its similarities alike,
+so they change neither neighbours nor votes.) Examples stand in blocks of like texts. A word's postings are sorted by
+block and carry the largest weight of each block, so a document's blocks have upper bounds; blocks are opened by these
+until none left can reach the k-th similarity. The top k is exact: ties go to the least example id. Votes weigh by squared
+similarity and are calibrated by leave-one-out votes of the examples themselves, fitted to be monotone (pool adjacent
+violators). Scoring is a map over whole texts.
+
+Null and empty texts, and those without any word of the examples, get the calibrated score of examples without
+neighbours. Without labelled rows the score is 0 and there is no evidence. Of a repeated id's texts the least is its
+example; of its labels the largest. Rows with a null id are scored and never are examples. Texts of any length are taken
+whole; an empty table gives no rows. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sliced
+from .common import released, sliced, stored
 
-#: Labelled rows that the index holds at most, terms at most, examples in a block, neighbours that vote.
-EXAMPLES, TERMS, BLOCK, K = 4096, 1024, 64, 15
-#: Chi-squared that a term needs, and its document frequency: MIN_DF, or one in MIN_SHARE of the examples if that is more.
-MIN_CHI2, MIN_DF, MIN_SHARE = 20.0, 4, 400
+#: Labelled rows and bytes of their texts that the index holds at most, examples in a block, neighbours that vote.
+EXAMPLES, EXAMPLE_BYTES, BLOCK, K = 4096, 64 << 20, 64, 15
+#: Chi-squared above which a word says more of the label than chance does.
+SIGNIFICANT = 15.0
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 37)
 
 
-#: Beginnings of words that are terms too, in bytes: inflected and compound forms share them.
-PREFIXES = (4, 6)
+def terms_of(text: str | None) -> list[bytes]:
+    """Words in lower case without ASCII punctuation."""
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+
 
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all ranges, one after another."""
+    total = int(length.sum())
+    ends = np.cumsum(length)
+    return np.arange(total) + np.repeat(start - (ends - length), length)
 
-def terms_of(text: str | None) -> list[bytes]:
-    """Words in lower case without ASCII punctuation, and their beginnings, marked by a space."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    return words + [b" " + w[:n] for n in PREFIXES for w in words]
+
+class Vocabulary(dict):
+    """Words with their numbers in order of first sight. It travels as one string, as tables of many small objects take memory and time."""
+
+    def __reduce__(self):
+        return _vocabulary, (b" ".join(self),)
+
+    def counted(self, words: list[bytes], grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's known words, sorted, and how often each stands; with ``grow`` new words become known."""
+        if grow:
+            known = [(self.setdefault(w, len(self)), n) for w, n in Counter(words).items()]
+        else:
+            get = self.get
+            known = [(i, n) for w, n in Counter(words).items() if (i := get(w)) is not None]
+        own = np.array(known, np.int32).reshape(-1, 2)
+        own = own[np.argsort(own[:, 0])]
+        return own[:, 0], own[:, 1]
+
+
+def _vocabulary(joined: bytes) -> Vocabulary:
+    return Vocabulary((w, i) for i, w in enumerate(joined.split(b" ") if joined else []))
 
 
 class Index:
-    """Examples' vectors as one inverted matrix (terms by examples), the largest weight in each block, and the calibration."""
+    """Inverted lists of the examples with the largest weight in each block, and the calibration.
+
+    ``frequency`` gives, for each word of the vocabulary in order, the number of all ``documents`` that have it; by default
+    the examples are all. ``texts`` may be an iterator of word lists.
+    """
 
-    def __init__(self, texts: list[list[bytes]], labels: list[int], max_terms: int = TERMS, block: int = BLOCK, k: int = K):
-        self.k, self.block, self.n = k, block, len(texts)
+    def __init__(self, texts, labels: list[int], frequency=None, documents: int = 0, block: int = BLOCK, k: int = K):
+        self.vocabulary = Vocabulary()
+        counts = [self.vocabulary.counted(t, grow=True) for t in texts]
+        self.k, self.block, self.n = k, block, len(counts)
         y = np.array(labels, np.float64)
-        df: dict[bytes, list[int]] = {}
-        for words, label in zip(texts, labels, strict=True):
-            for w in set(words):
-                df.setdefault(w, [0, 0])[label] += 1
+        size = len(self.vocabulary)
         n1, n0 = y.sum(), self.n - y.sum()
-
-        def chi2(a: int, b: int) -> float:  # b: with the term and label 1
-            c, d = n0 - a, n1 - b
-            down = (a + b) * (c + d) * n0 * n1
-            return self.n * (a * d - b * c) ** 2 / down if down else 0.0
-
-        chosen = sorted(((chi2(*v), w) for w, v in df.items() if sum(v) >= max(MIN_DF, self.n / MIN_SHARE)), key=lambda x: (-x[0], x[1]))
-        chosen = [(s, w) for s, w in chosen[:max_terms] if s >= MIN_CHI2]
-        self.vocabulary = {w: i for i, (_, w) in enumerate(chosen)}
-        # the last term stands for all other words, so that a document with few known words stays near those with none
-        self.idf = np.array([*(np.log((1 + self.n) / (1 + sum(df[w]))) + 1 for _, w in chosen), 1.0], np.float64)
-        self.blocks = -(-self.n // block) if self.n else 0
-        self.weights = np.zeros((len(self.idf), self.blocks * block), np.float32)
-        self.labels = np.zeros(self.blocks * block)
-        self.labels[: self.n] = y
-        for j, words in enumerate(texts):
-            ids, v = self.vector(words)
-            self.weights[ids, j] = v
-        self.top = self.weights.reshape(len(self.idf), self.blocks, block).max(2) if self.n else np.zeros((len(self.idf), 0), np.float32)
+        with_0, with_1 = np.zeros(size), np.zeros(size)
+        for (own, _), label in zip(counts, labels, strict=True):
+            (with_1 if label else with_0)[own] += 1
+        if frequency is None:
+            df, documents = with_0 + with_1, self.n
+        else:
+            df, documents = frequency(self.vocabulary) if callable(frequency) else (np.asarray(frequency, np.float64), documents)
+        down = (with_0 + with_1) * (self.n - with_0 - with_1) * n0 * n1
+        chi2 = self.n * (with_0 * (n1 - with_1) - with_1 * (n0 - with_0)) ** 2 / np.where(down == 0, np.inf, down)
+        self.weight = (np.log((1 + documents) / (1 + df)) + 1) * (1 + np.maximum(0.0, chi2 - SIGNIFICANT))
+        self.labels = y
         self.prior = float(y.mean()) if self.n else 0.0
-        self._calibrate(texts, y)
+        vectors = [self._weighed(own, n) for own, n in counts]
+        del counts
+        # like texts share a block: those whose commonest words, by df, are the same
+        common = np.argsort(-df, kind="stable")[:64]
+        rank = np.full(size, 64)
+        rank[common] = np.arange(len(common))
+        looks = [tuple(np.argsort(-np.bincount(rank[own], v, 65)[:64], kind="stable")[:3].tolist()) if len(own) else () for own, v in vectors]
+        self.order = np.array(sorted(range(self.n), key=lambda j: (looks[j], j)), np.int64)  # example at each place
+        self._fill([vectors[j] for j in self.order])
+        self._calibrate(vectors)
+
+    def _weighed(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = (1 + np.log(counts)) * self.weight[ids]
+        return ids, v / np.sqrt((v * v).sum()) if len(v) else v
+
+    def _fill(self, vectors: list) -> None:
+        place = np.repeat(np.arange(len(vectors)), [len(i) for i, _ in vectors])
+        term = np.concatenate([i for i, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
+        value = np.concatenate([v for _, v in vectors]) if vectors else np.empty(0)
+        order = np.lexsort((place, term))
+        term, self.place, self.value = term[order], place[order].astype(np.int32), value[order]
+        group = term * (self.n // self.block + 1) + self.place // self.block
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(group)), bool), group[1:] != group[:-1])))
+        self.entry_block = (self.place[first] // self.block).astype(np.int32)
+        self.entry_top = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0)
+        self.entry_start, self.entry_length = first, np.diff(np.append(first, len(term)))
+        self.term_start = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
+        self.blocks = -(-self.n // self.block)
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        counts: dict[int, int] = {}
-        get = self.vocabulary.get
-        for i in map(get, words):
-            if i is not None:
-                counts[i] = counts.get(i, 0) + 1
-        if other := len(words) - sum(counts.values()):
-            counts[len(self.idf) - 1] = 1 << (other.bit_length() - 1)  # a power of two: like documents get like vectors
-        ids = np.array(sorted(counts), np.int64)
-        if not len(ids):
-            return ids, np.empty(0, np.float32)
-        v = (1 + np.log([counts[i] for i in ids])) * self.idf[ids]
-        return ids, (v / np.sqrt((v * v).sum())).astype(np.float32)
+        return self._weighed(*self.vocabulary.counted(words))
+
+    def _opened(self, entry: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Similarities to the examples of the chosen blocks, at their places."""
+        use = chosen[self.entry_block[entry]]
+        entry, weight = entry[use], weight[use]
+        length = self.entry_length[entry]
+        at = _spread(self.entry_start[entry], length)
+        return np.bincount(self.place[at], np.repeat(weight, length) * self.value[at], minlength=self.n)
 
     def nearest(self, ids: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and similarities of the exact top k with a similarity above 0; ``skip`` is left out. Ties go to whichever is met first."""
-        best_s, best_j = np.empty(0, np.float32), np.empty(0, np.int64)
+        """Examples and similarities of the exact top k with a similarity above 0, nearest first, ties to the least example; ``skip`` is left out."""
+        none = np.empty(0, np.int64), np.empty(0)
         if not len(ids) or not self.n:
-            return best_j, best_s
-        bound = v @ self.top[ids]
-        floor = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == self.k and bound[b] <= floor + 1e-6:
-                break
-            lo = b * self.block
-            s = v @ self.weights[ids, lo : lo + self.block]
-            j = np.flatnonzero(s > max(0.0, floor - 1e-6 if len(best_s) == self.k else 0.0))
-            j = j[j + lo != skip]
-            if len(j):
-                best_s, best_j = np.concatenate([best_s, s[j]]), np.concatenate([best_j, j + lo])
-                order = np.lexsort((best_j, -np.round(best_s, 5)))[: self.k]
-                best_s, best_j = best_s[order], best_j[order]
-                if len(best_s) == self.k:
-                    floor = float(best_s.min())
-        return best_j, best_s
+            return none
+        start = self.term_start[ids]
+        length = self.term_start[ids + 1] - start
+        entry, weight = _spread(start, length), np.repeat(v, length)
+        bound = np.bincount(self.entry_block[entry], weight * self.entry_top[entry], minlength=self.blocks)
+        opened = np.zeros(self.blocks, bool)
+        best_j, best_s = none
+        step = 3
+        while True:
+            left = np.flatnonzero(~opened & (bound > 0))
+            if len(best_s) == self.k:  # a hair below the k-th: sums may round apart, and ties may have a lesser id
+                left = left[bound[left] >= best_s[-1] * (1 - 1e-9)]
+            if not len(left):
+                return best_j, best_s
+            chosen = np.zeros(self.blocks, bool)
+            chosen[left[np.argsort(-bound[left], kind="stable")[:step]]] = True
+            opened |= chosen
+            step = self.blocks
+            s = self._opened(entry, weight, chosen)
+            at = np.flatnonzero(s > 0)
+            j = self.order[at]
+            s, j = s[at][j != skip], j[j != skip]
+            best_j, best_s = np.concatenate([best_j, j]), np.concatenate([best_s, s])
+            order = np.lexsort((best_j, -best_s))[: self.k]
+            best_j, best_s = best_j[order], best_s[order]
 
     def vote(self, j: np.ndarray, s: np.ndarray) -> float:
-        w = s.astype(np.float64) ** 2
+        w = s**2
         return float((w * self.labels[j]).sum() / w.sum())
 
-    def _calibrate(self, texts: list[list[bytes]], y: np.ndarray) -> None:
+    def _calibrate(self, vectors: list) -> None:
         votes, none = [], []
-        for i, words in enumerate(texts):
-            j, s = self.nearest(*self.vector(words), skip=i)
+        for i, (ids, v) in enumerate(vectors):
+            j, s = self.nearest(ids, v, skip=i)
             if len(j):
-                votes.append((self.vote(j, s), y[i]))
+                votes.append((self.vote(j, s), self.labels[i]))
             else:
-                none.append(y[i])
+                none.append(self.labels[i])
         self.alone = (sum(none) + self.prior) / (len(none) + 1) if self.n else 0.0
         pools: list[list[float]] = []  # weight, sum of votes, sum of labels
         for x, label in sorted(votes):
@@ -127,43 +186,76 @@ class Index:
         self.cal_x = np.array([p[1] / p[0] for p in pools] or [0.0])
         # one example's weight of the prior keeps scores off 0 and 1, and apart where votes differ
         self.cal_y = np.array([(p[2] + self.prior) / (p[0] + 1) for p in pools] or [self.prior])
-        self.cache: dict[bytes, tuple[float, list]] = {}
-
-    def score(self, words: list[bytes]) -> tuple[float, list[tuple[int, float]]]:
-        """The calibrated score and the evidence: (example, similarity), nearest first."""
-        ids, v = self.vector(words)
-        key = ids.tobytes() + v.tobytes()
-        if key not in self.cache:
-            j, s = self.nearest(ids, v)
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            p = float(np.interp(self.vote(j, s), self.cal_x, self.cal_y)) if len(j) else self.alone
-            self.cache[key] = (min(1.0, max(0.0, p)), list(zip(j.tolist(), map(float, s), strict=True)))
-        return self.cache[key]
-
-
-def fit(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "label", examples: int = EXAMPLES) -> tuple[Index, list]:
-    """An index over the first ``examples`` labelled rows in hash order, and their ids. Rows without label or text count for nothing."""
+
+    def score(self, words: list[bytes]) -> tuple[float, np.ndarray, np.ndarray]:
+        """The calibrated score, and the examples that voted with their similarities, nearest first."""
+        j, s = self.nearest(*self.vector(words))
+        p = float(np.interp(self.vote(j, s), self.cal_x, self.cal_y)) if len(j) else self.alone
+        return min(1.0, max(0.0, p)), j, s
+
+
+def frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many of all documents each word of ``vocabulary`` stands, and how many documents there are. One number a word comes to the driver."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        at = held.value
+        counts, rows = np.zeros(len(at), np.int64), 0
+        for batch in sliced(batches, 512):
+            seen = [at.counted(terms_of(t))[0] for t in batch.column(0).to_pylist()]
+            rows += len(seen)
+            if seen:
+                counts += np.bincount(np.concatenate(seen), minlength=len(counts))
+        k = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1).astype(np.int32)), pa.array(np.append(counts[k], rows))], names=["k", "n"])
+
+    rows = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(released(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    held.unpersist()
+    k, n = rows.column("k").to_numpy(), rows.column("n").to_numpy()
+    out = np.zeros(len(vocabulary) + 1)
+    out[k] = n  # the last is the number of documents
+    return out[:-1], int(out[-1])
+
+
+def fit(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "label", examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES) -> tuple[Index, list]:
+    """An index over the first labelled rows in hash order, within both bounds, and their ids. Rows without label or text count for nothing."""
     chosen = (
-        labelled.select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
+        labelled.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
         .groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(examples)
     )
     # at most ``examples`` rows, so the broadcast has a fixed bound
-    rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).collect()
-    rows.sort(key=lambda r: r["__id"])
-    return Index([terms_of(r["__t"]) for r in rows], [r["__y"] for r in rows]), [r["__id"] for r in rows]
+    texts = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`").alias("__t")).where("__t <> ''").join(F.broadcast(chosen), "__id")
+    texts = stored(texts.groupBy("__id").agg(F.min("__t").alias("__t"), F.max("__y").alias("__y")), "examples")
+    sizes = texts.select("__id", F.octet_length("__t").alias("n")).orderBy(F.xxhash64("__id"), "__id").collect()
+    within = np.cumsum([r.n for r in sizes]) <= example_bytes
+    own = {r["__id"] for r, w in zip(sizes, within, strict=True) if w}
+    rows = texts.toArrow().sort_by("__id") if len(own) == len(sizes) else texts.where(F.col("__id").isin(list(own))).toArrow().sort_by("__id")
+    if not own:
+        return Index([], []), []
+    words = (terms_of(t.as_py()) for t in rows.column("__t"))
+    return Index(words, rows.column("__y").to_pylist(), lambda vocabulary: frequencies(docs, vocabulary, text)), rows.column("__id").to_pylist()
 
 
 def score(docs: DataFrame, index: Index, example_ids: list, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, evidence): evidence lists the nearest examples' ids and similarities."""
+    """(doc_id, score, evidence): evidence lists the examples that voted, nearest first, with similarity and label."""
     held = docs.sparkSession.sparkContext.broadcast((index, example_ids))
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64())])))])
+    one = pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())])
 
     def run(batches):
         own, ids = held.value
-        for batch in sliced(batches, 2048):
-            out = [own.score(terms_of(t)) for t in batch.column(1).to_pylist()]
-            evidence = [[{"example": ids[j], "similarity": s} for j, s in e[:3]] for _, e in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in out], pa.float64()), pa.array(evidence, schema.field(2).type)], schema=schema)
+        ids = np.array(ids, np.int64)
+        for batch in sliced(batches, 512):
+            found: dict[str | None, tuple] = {}
+            texts = batch.column(1).to_pylist()
+            for t in texts:  # copies in a batch are scored once
+                if t not in found:
+                    found[t] = own.score(terms_of(t))
+            out = [found[t] for t in texts]
+            offsets = np.cumsum([0, *(len(j) for _, j, _ in out)])
+            j = np.concatenate([j for _, j, _ in out]) if out else np.empty(0, np.int64)
+            s = np.concatenate([s for _, _, s in out]) if out else np.empty(0)
+            flat = pa.StructArray.from_arrays([pa.array(ids[j] if len(j) else np.empty(0, np.int64)), pa.array(s), pa.array(own.labels[j].astype(np.int32) if len(j) else np.empty(0, np.int32))], fields=list(one))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _, _ in out], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["doc_id", "score", "evidence"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, score double, evidence array<struct<example:long,similarity:double>>")
+    ddl = "doc_id long, score double, evidence array<struct<example:long,similarity:double,label:int>>"
+    return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t")).mapInArrow(released(run), ddl)

@@ -9,9 +9,14 @@ loses nothing by its words. What is less important than ``MIN_IMPORTANCE`` goes
 Only elements whose tag, role or hidden attribute says that they hold no main text (nav, footer, script) stay out.
 
 Pages of a host with the same blocks are one page of its tree, so copies take nothing from each other or from others, and
-of a branch only the contents that are repeated go. Contents of a host are counted by (host, page, branch, content), never
-gathered by host, so a host with a third of all pages is no hot group. Null and empty pages have empty text; a page
-without a URL shares a tree with the others without one. Repeated pages keep a row each.
+of a branch only the contents that are repeated go. What n of a branch's m pages have carries 1 - log n / log (m + ``PRIOR``):
+the more pages, the more a repetition says, without a size from which on it counts. Contents of a host are counted by
+(host, page, branch, content), never gathered by page; a host with a thousandth of all pages gets its contents by
+broadcast (there are at most a thousand such), so a host with a third of all pages is no hot group.
+
+Null and empty pages have empty text; a page without a URL shares a tree with the others without one. Repeated pages keep
+a row each, there are no ties, and pages of any length are parsed whole. An empty table gives no rows. Columns of any name
+may stand beside the HTML and the URL; one named like ``out`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh, sliced, stored
+from .common import fresh, matched, scratch, sliced, stored
 
-#: Pages of a host that must hold a branch before its entropy counts, and the importance below which it goes.
-MIN_PAGES, MIN_IMPORTANCE = 6, 0.3
+#: Pages that a branch is taken to have beside its own, each with content of its own, and the importance below which content goes.
+PRIOR, MIN_IMPORTANCE = 4, 0.3
 #: Presentation: added for an article or main element, added times a branch's share of the page's text, and taken off less the squared share that a noise word's element holds.
 ARTICLE, SHARE, NOISE = 0.2, 0.35, 1.2
 
@@ -212,7 +217,7 @@ def branches(found: list[Block]) -> dict[str, tuple[int, int]]:
     return {b: (branch_id("\n".join([b, *t])), sum(map(len, t))) for b, t in of.items()}
 
 
-def style_tree(pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+def style_tree(pages: DataFrame, html_column: str = "html", url: str = "url", prior: int = PRIOR, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """(host, content, pages, information) of the contents that too many pages of a host have in one branch, over all pages.
 
     Pages with the same blocks count once. The mean information of a branch's contents is its entropy over its largest value.
@@ -228,13 +233,13 @@ def style_tree(pages: DataFrame, html_column: str = "html", url: str = "url", mi
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "branch", "content"])
 
-    seen = pages.select(F.col(url).alias("u"), F.col(html_column).alias("h")).mapInArrow(run, "host string, page long, branch long, content long")
+    seen = pages.select(F.col(f"`{url}`").alias("u"), F.col(f"`{html_column}`").alias("h")).mapInArrow(run, "host string, page long, branch long, content long")
     contents = stored(seen.distinct().groupBy("host", "branch", "content").agg(F.count("*").alias("n")), "contents")
-    tree = contents.groupBy("host", "branch").agg(F.sum("n").alias("pages")).where(F.col("pages") >= max(2, min_pages))
-    # what n of m pages have carries log(m / n) of log m; fewer than this many pages leave enough in every branch that counts
-    often = contents.where(F.col("n") >= max(2.0, float(max(2, min_pages)) ** (1 - min_importance) - 1e-6))
-    information = 1 - F.log("n") / F.log("pages")
-    return often.join(tree, ["host", "branch"]).select("host", "content", "pages", information.alias("information")).where(F.col("information") < min_importance)
+    tree = contents.groupBy("host", "branch").agg(F.sum("n").alias("pages"))
+    # fewer than this many pages leave enough in every branch, as a branch has no fewer
+    least = next(n for n in range(2, 1 << 20) if n > (n + prior) ** (1 - min_importance))
+    information = 1 - F.log("n") / F.log(F.col("pages") + prior)
+    return contents.where(F.col("n") >= least).join(tree, ["host", "branch"]).select("host", "content", "pages", information.alias("information")).where(F.col("information") < min_importance)
 
 
 def main_text(page: str | None, known: dict[int, float], min_importance: float = MIN_IMPORTANCE) -> str:
@@ -246,12 +251,9 @@ def main_text(page: str | None, known: dict[int, float], min_importance: float =
     return "\n".join(t for _, t in lined([b for b in found if base[b.branch] + ARTICLE * b.article - NOISE * b.noise >= min_importance]))
 
 
-def extract(pages: DataFrame, html_column: str = "html", url: str = "url", out: str = "text", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+def extract(pages: DataFrame, html_column: str = "html", url: str = "url", out: str = "text", prior: int = PRIOR, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """``pages`` with the main text in ``out``; empty if there is none."""
-    low = style_tree(pages, html_column, url, min_pages, min_importance)
-    # of a branch of m pages fewer than m ** min_importance contents are repeated as often
-    low = stored(low.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("content", "information"))).alias("low")).select("host", "low.content", "low.information"), "style")
-    key, ids, values, h = fresh(pages, "__host", "__low", "__information", "__hostkey")
+    key, ids, values, count = fresh(pages, "__host", "__low", "__information", "__pages")
 
     @F.pandas_udf("string")
     def hosts(urls):
@@ -264,8 +266,15 @@ def extract(pages: DataFrame, html_column: str = "html", url: str = "url", out:
 
         return pd.Series(list(map(one, htmls, lows, informations)), index=htmls.index, dtype=object)
 
-    joined = pages.withColumn(key, hosts(F.col(url))).join(low.select(F.col("host").alias(h), F.col("content").alias(ids), F.col("information").alias(values)), F.col(key) == F.col(h), "left")
-    return joined.withColumn(out, text(F.col(html_column), F.col(ids), F.col(values))).drop(key, ids, values, h)
+    with scratch(pages.sparkSession):
+        low = style_tree(pages, html_column, url, prior, min_importance)
+        # of a branch of m pages fewer than m ** min_importance contents are repeated as often
+        low = low.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("content", "information"))).alias("low")).select("host", "low.content", "low.information")
+        counts = pages.select(F.col(f"`{url}`").alias("u")).groupBy("u").agg(F.count("*").alias("n")).select(hosts("u").alias("host"), "n").groupBy("host").agg(F.sum("n").alias("n"))
+        low = stored(low.join(counts, "host"), "style", keep=True)
+    names = low.select(F.col("host").alias(key), F.col("content").alias(ids), F.col("information").alias(values), F.col("n").alias(count))
+    joined = matched(pages.withColumn(key, hosts(F.col(f"`{url}`"))), names, key, count, pages.count())
+    return joined.withColumn(out, text(F.col(f"`{html_column}`"), F.col(ids), F.col(values))).drop(key, ids, values)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

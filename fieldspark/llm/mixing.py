@@ -8,14 +8,21 @@
    these weights the Hessian's norm is at most 1 + MU. An iteration aggregates one number for each domain; a row's
    rate replays the residuals so far, so no state is kept and a lost executor costs a recomputation only.
 
+The iteration ends when all targets are met to ``TOLERANCE``, or when a step changes no residual by more than that (some
+targets are then out of reach at the floor), or after ``ITERATIONS`` steps. The report says whether all targets are met and
+whether the iteration came to rest; where not, a warning gives the report.
+
 Null and empty texts have no tokens and the prior as posterior. Rows without a domain label count for nothing in the
-fit, and are scored like all others. Without any label there is one domain and every rate is 1. Repeated rows have
-equal rates. Domains without tokens get no target.
+fit, and are scored like all others; of an id's labels the least by name counts. Without any label there is one domain
+and every rate is 1. Repeated rows have equal rates; ties of posteriors go to the first domain by name. Domains without
+tokens get no target. Texts of any length count whole; an empty table gives no rows. Columns of any name may stand beside
+the id and the text.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import math
 from dataclasses import dataclass
 
@@ -26,10 +33,12 @@ from .common import WORD_GAP, fresh, stored
 #: Labelled rows that the classifier is fitted on at most; hash buckets; words after which evidence counts no further.
 TRAIN_ROWS, BUCKETS, EVIDENCE = 4096, 4096, 32
 #: Pull of the rates towards 1; relative residual, or change of it, that ends the iteration; iterations at most.
-MU, TOLERANCE, ITERATIONS = 1e-5, 1e-4, 24
+MU, TOLERANCE, ITERATIONS = 1e-5, 1e-4, 64
 #: Default targets are shares to this power: below 1 it lifts rare domains.
 FLATTEN = 0.7
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Classifier:
@@ -98,7 +107,7 @@ def _rate(p: Column, history: list[list[float]], floor: float) -> Column:
 
 
 def fit_rates(scored: DataFrame, domains: list[str], n: str, p: str, weights: dict[str, float] | None = None, floor: float = 0.0, flatten: float = FLATTEN) -> tuple[Column, dict]:
-    """The rate as a Column over ``p``, and a report: tokens, targets and fitted totals by domain, iterations.
+    """The rate as a Column over ``p``, and a report: tokens, targets and fitted totals by domain, iterations, whether all targets are met, and whether it came to rest.
 
     ``weights`` are relative target totals; by default the shares to the power ``flatten``. With a floor of 0 the
     targets add up to all tokens; with a floor, to the least total that needs no rate below it.
@@ -112,23 +121,25 @@ def fit_rates(scored: DataFrame, domains: list[str], n: str, p: str, weights: di
     now = totals(F.lit(1.0))
     whole = sum(now)
     if not whole:
-        return F.lit(1.0), {"domains": domains, "tokens": now, "targets": now, "fitted": now, "iterations": 0}
+        return F.lit(1.0), {"domains": domains, "tokens": now, "targets": now, "fitted": now, "iterations": 0, "met": True, "at_rest": True}
     share = [t / whole for t in now]
     want = [(weights.get(d, 0.0) if weights else s**flatten) * (s > 0) for d, s in zip(domains, share, strict=True)]
     want = [w / sum(want) for w in want] if sum(want) else share
     total = whole if not floor else whole * max(floor * s / w for s, w in zip(share, want, strict=True) if w)
     targets = [w * total for w in want]
     history: list[list[float]] = []
-    fitted, last = now, [math.inf] * k
-    for _ in range(ITERATIONS):
+    fitted, last, met, rest = now, [math.inf] * k, False, False
+    while True:
         residual = [(f - t) / (whole * s) if s else 0.0 for f, t, s in zip(fitted, targets, share, strict=True)]
+        met = max(map(abs, residual)) < TOLERANCE
         # at the floor some targets may be out of reach: then the residual stays, and a step changes it no more
-        if max(abs(r) for r in residual) < TOLERANCE or max(abs(r - q) for r, q in zip(residual, last, strict=True)) < TOLERANCE:
+        rest = met or max(abs(r - q) for r, q in zip(residual, last, strict=True)) < TOLERANCE
+        if rest or len(history) == ITERATIONS:
             break
         last = residual
         history.append(residual)
         fitted = totals(_rate(F.col(p), history, floor))
-    return _rate(F.col(p), history, floor), {"domains": domains, "tokens": now, "targets": targets, "fitted": fitted, "iterations": len(history)}
+    return _rate(F.col(p), history, floor), {"domains": domains, "tokens": now, "targets": targets, "fitted": fitted, "iterations": len(history), "met": met, "at_rest": rest}
 
 
 def _copies(rate: Column, key: list[Column]) -> Column:
@@ -142,7 +153,9 @@ def rates(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text:
     base = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     model = train(docs, labelled, id_column, text, domain)
     scored = stored(with_posteriors(base, model, "text", "n_tokens", "posterior").drop("text"), "posteriors")
-    rate, _ = fit_rates(scored, model.domains, "n_tokens", "posterior", weights, floor)
+    rate, report = fit_rates(scored, model.domains, "n_tokens", "posterior", weights, floor)
+    if not report["met"]:
+        log.warning("targets not met at floor %s: %s", floor, report)
     best = F.element_at(F.array(*map(F.lit, model.domains)), F.array_position(F.col("posterior"), F.array_max("posterior")).cast("int"))
     out = scored.withColumn("rate", rate)
     return out.select("doc_id", "n_tokens", best.alias("domain"), "posterior", "rate", _copies(F.col("rate"), [F.col("doc_id")]).alias("copies"))
@@ -153,6 +166,8 @@ def mix(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text: s
     n, p, c = fresh(docs, "__n", "__p", "__c")
     model = train(docs, labelled, id_column, text, domain)
     scored = stored(with_posteriors(docs, model, text, n, p), "scored")
-    rate, _ = fit_rates(scored, model.domains, n, p, weights, floor)
+    rate, report = fit_rates(scored, model.domains, n, p, weights, floor)
+    if not report["met"]:
+        log.warning("targets not met at floor %s: %s", floor, report)
     out = scored.withColumn(c, _copies(rate, [F.col(f"`{id_column}`")])).where(F.col(c) > 0)
     return out.withColumn(c, F.explode(F.array_repeat(F.lit(1), F.col(c).cast("int")))).select([F.col(f"`{x}`") for x in docs.columns])

@@ -5,8 +5,11 @@ are range-partitioned and sorted by (key, doc_id), so neighbours on the curve, c
 tie as large as a third of the rows is still cut between partitions by doc_id. Each partition cuts its run of tokens
 every ``length`` tokens; only its last sequence is padded.
 
-Null and empty texts hold the end token alone. Repeated rows are packed each on its own. Encoding goes word by word
-through a cache: the tokenizer drops white space and never joins across it, so this equals encoding the whole text.
+Partitions follow from all tokens (``TASK_TOKENS`` each), so a task stays as it is while the data grow. Null and empty
+texts hold the end token alone. Repeated rows are packed each on its own; rows with a null doc_id are packed like others,
+their pieces have a null doc_id. Documents of any length are encoded whole and cut where a sequence ends. An empty table
+gives no pieces. Only the id and the text are read, so other columns may have any name. Encoding goes word by word through
+a cache: the tokenizer drops white space and never joins across it, so this equals encoding the whole text.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from .common import mix, released, sliced, stored
 LENGTH, END = 2048, 1
 #: Bits of each coordinate of the curve, and how far a projection of typical size reaches towards the cube's faces.
 BITS, DIMS, GAIN = 16, 3, 4.0
-#: Sequences that a partition should hold at least, so that padding stays under a five-hundredth.
-SEQUENCES = 256
+#: Sequences that a partition should hold at least, so that padding stays under a five-hundredth, and tokens that it holds at most, about.
+SEQUENCES, TASK_TOKENS = 256, 1 << 24
 #: Words whose ids a worker remembers, in each of two generations: words in use outlive those met once.
 REMEMBERED = 400_000
 _PUNCTUATION = b".,;:!?#$%&*-+=/\\()[]{}|<>@^_`~\""
@@ -185,7 +188,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, id_column: str = "doc
     # written once: the range partitioner samples its input before it shuffles it
     table = stored(tokenized(docs, path, id_column, text, end), "tokens")
     total = table.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (length * SEQUENCES)))
+    parts = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_TOKENS), total // (length * SEQUENCES)))
     ordered = table.repartitionByRange(parts, "key", "doc_id", "n").sortWithinPartitions("key", "doc_id", "n", F.crc32("ids"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 

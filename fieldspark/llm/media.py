@@ -5,7 +5,9 @@ returns a row about it; the driver's commit file names the archives of tasks tha
 repeated attempts are never read. Reading: the source plans byte ranges over the committed archives, each range reads
 the directory, takes the members that start in it, streams them as Arrow batches and retries each member by its offset.
 
-Null and empty texts give 64 zero bytes. Rows without an id keep a null id. Repeated rows are members of their own.
+Null and empty texts give 64 zero bytes. Rows without an id keep a null id. Repeated rows are members of their own, with
+equal values; there are no ties. Texts of any length are stored whole, one member at a time. An empty table gives no rows,
+and an archive folder with an empty commit file. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import new_path, sliced
+from .common import new_path, remove, sliced, stored
 
 UNIT, RANGE_BYTES, TRIES, BATCH_BYTES = 64, 16 << 20, 3, 4 << 20
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -116,7 +118,7 @@ def write_archives(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_pydict({"archive": [name], "data_bytes": pa.array([at], pa.int64()), "members": pa.array([len(entries)], pa.int64())})
 
     # one row for each task that wrote: names of archives, never documents
-    done = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "archive string, data_bytes long, members long").collect()
+    done = docs.select(F.col(f"`{id_column}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "archive string, data_bytes long, members long").collect()
     with fs.open_output_stream(f"{own}/_committed.json") as f:
         f.write(json.dumps([[r.archive, r.data_bytes, r.members] for r in done]).encode())
     return path
@@ -210,8 +212,9 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
 
 
 def media_features(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text, read the stored bytes back and describe them."""
-    read = read_archives(docs.sparkSession, write_archives(docs, id_column, text))
+    """Store every text, read the stored bytes back and describe them. The archives go once the descriptions are written."""
+    path = write_archives(docs, id_column, text)
+    read = read_archives(docs.sparkSession, path)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches):
@@ -224,4 +227,7 @@ def media_features(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return read.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    described = read.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = stored(described, "described")
+    remove(docs.sparkSession, path)
+    return out

@@ -315,3 +315,19 @@ def assistant_mask(ids: Column, start: list[int], end: list[int], ignore: int =
         return F.when(since.isNotNull() & (last.isNull() | (i <= last)), F.get(ids, i)).otherwise(F.lit(ignore)).cast("int")
 
     return F.when(F.size(ids) > 0, F.transform(places, label)).otherwise(F.array().cast("array<int>"))
+
+
+def retained(rows: DataFrame, policy: str = "all") -> DataFrame:
+    """Rows that are retained; a policy of ``actions`` drops those that only ask (intent ``query``)."""
+    out = rows.where(F.col("retained"))
+    return out.where(F.col("intent") != "query") if policy == "actions" else out
+
+
+def aliased(catalog: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
+    """Results with their aliases and description, empty where there are none."""
+    return catalog.join(aliases, name, "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).withColumn("description", F.coalesce("description", F.lit("")))
+
+
+def without_keys(json: Column, keys: list[str]) -> Column:
+    """A JSON object's text without the keys at its top, in the order of the others."""
+    return F.to_json(F.map_filter(F.from_json(json, "map<string,string>"), lambda k, _: ~k.isin(keys)))

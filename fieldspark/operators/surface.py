@@ -192,3 +192,21 @@ def appended(parts: list[DataFrame], index: str, size: str) -> DataFrame:
         total = moved.agg((F.max("__base") + F.max(size)).alias("__base"))
         out = (rows.drop("__base") if out is None else out[0].unionByName(rows.drop("__base")), total)
     return out[0]
+
+
+def bounds(points: DataFrame) -> DataFrame:
+    """(cx, cy, cz, radius): the middle of the box around all points, and half its diagonal, 0.001 at least."""
+    box = points.agg(*[f(a).alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"])
+    half = K.magnitude(*[F.col(f"hi{a}") - F.col(f"lo{a}") for a in "xyz"]) / 2
+    return box.select(*[((F.col(f"lo{a}") + F.col(f"hi{a}")) / 2).alias(f"c{a}") for a in "xyz"], F.greatest(half, F.lit(1e-3)).alias("radius"))
+
+
+def plain_centroid(elements: DataFrame, points: DataFrame) -> DataFrame:
+    """(class, label, cx, cy, cz): each different node's position once, over the number of all nodes that the element names."""
+    own = elements.select("class", "label", F.size("nodes").alias("k"), F.explode(F.array_distinct("nodes")).alias("node")).join(points, "node")
+    return own.groupBy("class", "label", "k").agg(*[F.sum(a).alias(a) for a in "xyz"]).select("class", "label", *[(F.col(a) / F.col("k")).alias(f"c{a}") for a in "xyz"])
+
+
+def face_scatter(faces_with: DataFrame) -> DataFrame:
+    """(node, value): the mean over all corners of all faces that have a value; ``faces_with`` has (face, value)."""
+    return faces_with.select(F.explode("face").alias("node"), "value").groupBy("node").agg(F.avg("value").alias("value"))

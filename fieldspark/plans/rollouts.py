@@ -185,3 +185,33 @@ def call_answers(spark, d):
     placed = turns.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
     out = own.select("conv_id", F.col("c.place").alias("place"), F.col("c.name").alias("name"), F.coalesce(F.get_json_object("c.answer", "$.ok"), F.lit("none")).alias("error"))
     return out.join(placed, ["conv_id", "place"]).select("conv_id", "turn", "name", "error")
+
+
+@query("SELECT doc_id, lang AS intent FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang <> 'de'")
+def retained_rows(spark, d):
+    """Retained rows, without those of one intent."""
+    rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    rows = rows.select("doc_id", F.when(F.col("lang") == "de", "query").otherwise(F.col("lang")).alias("intent"), (F.col("quality") == 1).alias("retained"))
+    return R.retained(rows, "actions").select("doc_id", "intent")
+
+
+@query("""SELECT p_partkey, p_type, CASE WHEN p_size > 25 THEN 'alias-' || p_size ELSE '' END AS aliases, CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS description FROM part""")
+def alias_join(spark, d):
+    p = table(spark, d, "part")
+    aliases = p.where("p_size > 25").select("p_partkey", F.array(F.concat(F.lit("alias-"), F.col("p_size").cast("string"))).alias("aliases"), F.col("p_brand").alias("description"))
+    return R.aliased(p.select("p_partkey", "p_type"), aliases, "p_partkey").select("p_partkey", "p_type", F.concat_ws(",", "aliases").alias("aliases"), "description")
+
+
+@query("""SELECT event_id, '{"b":"' || event_type || '"}' AS json FROM events""")
+def stripped_keys(spark, d):
+    """Objects without what must not be seen."""
+    text = F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit(', "b": "'), "event_type", F.lit('", "secret": [1, 2]}'))
+    return table(spark, d, "events").select("event_id", R.without_keys(text, ["k", "secret"]).alias("json"))
+
+
+@query("SELECT user_id, event_id, 'function' AS type, event_type AS name, 'object' AS kind FROM events")
+def openai_tools(spark, d):
+    """Tools in the shape that models take."""
+    e = table(spark, d, "events")
+    tool = R.openai_tool(F.col("event_type"), F.lit("does it"), F.struct(F.lit("object").alias("type")))
+    return e.select("user_id", "event_id", tool.alias("t")).select("user_id", "event_id", "t.type", "t.function.name", F.col("t.function.parameters.type").alias("kind"))

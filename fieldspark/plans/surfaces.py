@@ -191,3 +191,33 @@ def surface_strain(spark, d):
     # the determinant of the face's directions in its own frame is the length of their product
     solid = gathered(db, "brick", [5], lambda df: df).where(K.magnitude(*n) > 0.001).select("label")
     return got.join(solid, "label").select("label", r("ex", 3).alias("ex"), r("exy", 3).alias("exy"))
+
+
+@query(f"{_ALL}, b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM p) SELECT round((lx + hx) / 2, 6) + 0.0 AS cx, round((ly + hy) / 2, 6) + 0.0 AS cy, round((lz + hz) / 2, 6) + 0.0 AS cz, round(greatest(sqrt((hx - lx) ** 2 + (hy - ly) ** 2 + (hz - lz) ** 2) / 2, 0.001), 6) AS radius FROM b")
+def mesh_bounds(spark, d):
+    """A sphere around all points."""
+    return G.bounds(_mesh(spark, d)[1]).select(*[r(c, 6).alias(c) for c in ("cx", "cy", "cz", "radius")])
+
+
+@query(f"{_ALL} SELECT ex.class, ex.label, round(sum(x) / any_value(size), 6) + 0.0 AS cx, round(sum(y) / any_value(size), 6) + 0.0 AS cy FROM ex JOIN p ON p.node = ex.node GROUP BY 1, 2")
+def plain_centroids(spark, d):
+    elements, points = _mesh(spark, d, None)
+    return G.plain_centroid(elements, points).select("class", "label", r("cx", 6).alias("cx"), r("cy", 6).alias("cy"))
+
+
+@query(f"""{_ALL}, s AS (SELECT label * 4 - 3 AS a FROM el WHERE class = 'shell'), f AS (SELECT list_sort([(label - 1) * 8 + i + 1 FOR i IN k]) AS nodes FROM (SELECT label, unnest({_listed(list(_HEX.faces))}) AS k FROM el WHERE class = 'brick')
+UNION ALL SELECT [a, a + 1, a + 2, a + 3] FROM s) SELECT array_to_string(nodes, ',') AS face FROM f GROUP BY nodes HAVING count(*) >= 2""")
+def interior_faces(spark, d):
+    """Faces that two elements or more have: they are inside."""
+    out = G.shared_faces(_mesh(spark, d, None)[0]).where("shared >= 2")
+    return out.select(F.concat_ws(",", F.col("key").cast("array<string>")).alias("face"))
+
+
+@query(f"{_ALL}, v AS (SELECT el.label, CAST(e.x[1] AS DOUBLE) AS v FROM el JOIN e ON e.k = (el.label - 1) * 8 WHERE class = 'brick'), f AS (SELECT label, unnest({_listed(list(_HEX.faces))}) AS k FROM el WHERE class = 'brick'), c AS (SELECT (label - 1) * 8 + unnest(k) + 1 AS node, label FROM f) SELECT node, round(avg(v), 6) + 0.0 AS value FROM c JOIN v USING (label) GROUP BY node")
+def face_scatter(spark, d):
+    """A value of each brick's faces, as a mean at their corners."""
+    from ..database import query as select
+
+    db = mesh(spark, d)
+    values = select(db, "sx", "brick", states=1).select("label", "value")
+    return G.face_scatter(G.faces(_mesh(spark, d)[0]).join(values, "label").select("face", "value")).select("node", r("value", 6).alias("value"))

@@ -246,21 +246,27 @@ def _within(p: DataFrame, sets: DataFrame, members, percent: int) -> DataFrame:
         order = np.argsort(count[part], kind="stable")  # the largest component comes last
         node, part = node[order], part[order]
         small = count.sum() - count.max()
-        rows = members(table.column("payload").take(pa.array(order)).to_pylist())
         before = [[k for k in table.column("keys")[int(i)].as_py() if k < here] for i in order]
         width = [len(x) for x in before]
         flat, owner = np.array([k for x in before for k in x], np.int64), np.repeat(np.arange(len(node)), width)
-        up = np.arange(len(names))
-        a, b = [], []
+        todo = []
         for i in range(int(small)):
-            other = up[part] != up[part[i]]
+            other = part != part[i]
             other[: i + 1] = False
             if width[i]:  # nodes that an earlier list has brought together are done
                 other[owner[np.isin(flat, before[i])]] = False
-            at = np.flatnonzero(other)
+            if other.any():
+                todo.append((i, np.flatnonzero(other)))
+        # only rows that have something left to be multiplied with get their sets
+        need = np.unique(np.concatenate([np.append(at, i) for i, at in todo])) if todo else np.empty(0, np.int64)
+        rows = dict(zip(need.tolist(), members(table.column("payload").take(pa.array(order[need])).to_pylist()), strict=True))
+        up = np.arange(len(names))
+        a, b = [], []
+        for i, at in todo:
+            at = at[up[part[at]] != up[part[i]]]
             if not len(at):
                 continue
-            for j in at[products(rows[i], [rows[k] for k in at], percent)]:
+            for j in at[products(rows[i], [rows[k] for k in at.tolist()], percent)]:
                 if up[part[j]] != up[part[i]]:
                     up[up == up[part[j]]] = up[part[i]]
                     a.append(int(node[i]))

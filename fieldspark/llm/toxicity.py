@@ -41,9 +41,10 @@ def terms_of(text: str | None) -> list[bytes]:
 
 def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of all ranges, one after another."""
-    total = int(length.sum())
-    ends = np.cumsum(length)
-    return np.arange(total) + np.repeat(start - (ends - length), length)
+    ends = np.cumsum(length, dtype=np.int32)
+    out = np.repeat(start - (ends - length), length)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class Vocabulary(dict):
@@ -114,13 +115,13 @@ class Index:
         term = np.concatenate([i for i, _ in vectors]).astype(np.int64) if vectors else np.empty(0, np.int64)
         value = np.concatenate([v for _, v in vectors]) if vectors else np.empty(0)
         order = np.lexsort((place, term))
-        term, self.place, self.value = term[order], place[order].astype(np.int32), value[order]
+        term, self.place, self.value = term[order], place[order], value[order]
         group = term * (self.n // self.block + 1) + self.place // self.block
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(group)), bool), group[1:] != group[:-1])))
-        self.entry_block = (self.place[first] // self.block).astype(np.int32)
+        self.entry_block = self.place[first] // self.block
         self.entry_top = np.maximum.reduceat(self.value, first) if len(first) else np.empty(0)
-        self.entry_start, self.entry_length = first, np.diff(np.append(first, len(term)))
-        self.term_start = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1))
+        self.entry_start, self.entry_length = first.astype(np.int32), np.diff(np.append(first, len(term))).astype(np.int32)
+        self.term_start = np.searchsorted(term[first], np.arange(len(self.vocabulary) + 1)).astype(np.int32)
         self.blocks = -(-self.n // self.block)
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,11 +129,13 @@ class Index:
 
     def _opened(self, entry: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         """Similarities to the examples of the chosen blocks, at their places."""
-        use = chosen[self.entry_block[entry]]
-        entry, weight = entry[use], weight[use]
+        use = np.flatnonzero(chosen[self.entry_block[entry]])
+        entry = entry[use]
         length = self.entry_length[entry]
         at = _spread(self.entry_start[entry], length)
-        return np.bincount(self.place[at], np.repeat(weight, length) * self.value[at], minlength=self.n)
+        share = np.repeat(weight[use], length)
+        share *= self.value[at]
+        return np.bincount(self.place[at], share, minlength=self.n)
 
     def nearest(self, ids: np.ndarray, v: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and similarities of the exact top k with a similarity above 0, nearest first, ties to the least example; ``skip`` is left out."""

@@ -92,9 +92,9 @@ def mod_max(spark, d):
     return _out(M.extreme(field(spark, d, False), True, ["state"]))
 
 
-@query(f"WITH {FIELD} SELECT class, state, round(avg(value), 7) + 0.0 AS value FROM f GROUP BY class, state")
+@query(f"WITH {FIELD} SELECT class, state, round(avg(value), 10) + 0.0 AS value FROM f GROUP BY class, state")
 def mod_average(spark, d):
-    return M.reduced(field(spark, d), "average", ["class", "state"]).select("class", "state", r("value", 7).alias("value"))
+    return M.reduced(field(spark, d), "average", ["class", "state"]).select("class", "state", r("value", 10).alias("value"))
 
 
 @query(f"WITH {FIELD} SELECT class, state, round(median(value), 4) + 0.0 AS value FROM f GROUP BY class, state")

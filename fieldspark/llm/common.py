@@ -266,7 +266,9 @@ def bloom(keys: DataFrame, column: str) -> bytes:
 
     slices = keys.select(F.col(column).cast("long").alias("k")).mapInArrow(released(run), "part int, bits binary")
     total = np.zeros(bits >> 3, np.uint8)
-    for row in slices.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "part int, bits binary").toLocalIterator():
+    joined = slices.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "part int, bits binary")
+    # an iterator runs a job for each partition, also for empty ones; up to 8 MiB come at once
+    for row in joined.collect() if bits <= 1 << 26 else joined.toLocalIterator():
         v = np.frombuffer(row.bits, np.uint8)
         total[row.part << (_SLICE - 3) : (row.part << (_SLICE - 3)) + len(v)] = v
     return total.tobytes()

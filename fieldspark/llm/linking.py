@@ -1,8 +1,8 @@
 """From lists of rows that meet in a column to components, by blocked products of the rows' sets.
 
 A list (all nodes with one key) of m nodes has m * m / 2 pairs, which are never made as rows. Its hub is compared with all
-others, and verified links are contracted (``components``). Only lists that still hold several components go on, in one of
-two ways that the caller chooses:
+others, and verified links are contracted (``components``). The hub is done then, and so is a list of two. Only lists whose
+other nodes still hold several components go on, in one of two ways that the caller chooses:
 
 - ``within``: the nodes of a list meet in one task, each with its set once, and the products between its components are
   taken there; what is found on the way joins components at once, and two nodes are multiplied in the first of the lists
@@ -16,15 +16,20 @@ No link between nodes that share a key is lost.
 A pair is verified by the product of its rows in the matrix of nodes by members: a hub's row and a block of other rows
 are multiplied one block of columns after another, the overlaps add up, and a row drops out as soon as what is left of
 it cannot reach the bound that follows from the two sizes.
+
+Where sets have outlines (``outline``), these go through the shuffles first, as they hold a bit or two for each member.
+They count members that two sets do not share, some of them at least, so none but pairs below the threshold drop out; whole
+sets go only to the pairs that are left.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks_of, released, repeated, runs, sliced, stored
+from .common import bloom, chunks_of, maybe, released, repeated, runs, sliced, stored
 from .components import components
 
 #: Column blocks of a product, and counters of members. Lists of over ``LONG`` nodes, or with over ``PAIRS`` pairs between components, get up to ``TURNS`` more hubs first.
@@ -69,6 +74,52 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return bool(products(x, [y], percent)[0])
 
 
+def outline(s: np.ndarray) -> bytes:
+    """A set's size and, for one to two counters a member (a power of two, 64 at least), whether each is odd."""
+    bits = max(64, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.uint64(len(s)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def outlines_allow(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether sets with these outlines can be similar: each counter that differs has a member that only one of them has."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    n, m = int(a[0]), int(b[0])
+    need = needed(n, m, percent)
+    if min(n, m) < max(need, 1):
+        return False
+    # counters go by low bits, so those of the larger outline add up to fewer
+    folded = np.bitwise_xor.reduce(b[1:].reshape(-1, len(a) - 1), axis=0)
+    return int(np.bitwise_count(a[1:] ^ folded).sum()) <= n + m - 2 * need
+
+
+def _known(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sets`` without most of those whose node is not in ``nodes``, before any shuffle."""
+    bits = sets.sparkSession.sparkContext.broadcast(bloom(nodes, "node"))
+
+    @F.pandas_udf("boolean")
+    def wanted(ids):
+        return pd.Series(maybe(bits.value, ids.to_numpy()))
+
+    return sets.where(wanted("node"))
+
+
+def _allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the outlines of their sets do not rule out."""
+    held = (
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("outline").alias("ob")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("outline").alias("oa")), "a").select("a", "b", "oa", "ob")
+    )
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = pa.array([outlines_allow(i, j, percent) for i, j in zip(x, y, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return held.mapInArrow(released(run), "a long, b long")
+
+
 def reachable(percent: int, n1: Column, u1: Column, n2: Column, u2: Column) -> Column:
     """The bound: from sizes and members known not to be shared, the largest overlap and so the similarity."""
     most = F.least(n1 - u1, n2 - u2)
@@ -116,7 +167,12 @@ MET = "key long, node long, n long, hub long, hub_n long"
 
 
 def verified(pairs: DataFrame, sets: DataFrame, members, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; ``sets`` has (node, payload), ``members`` gives the sorted sets of a list of payloads."""
+    """The pairs (a, b) whose sets are similar; ``sets`` has (node, payload) and may have ``outline``, ``members`` gives the sorted sets of a list of payloads."""
+    if "outline" in sets.columns:
+        pairs = stored(_allowed(pairs, sets, percent), "allowed")
+        if not pairs.limit(1).count():
+            return pairs
+        sets = _known(sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     held = (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("payload").alias("pb")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("payload").alias("pa")), "a").select("a", "b", "pa", "pb")
@@ -279,8 +335,9 @@ def _within(p: DataFrame, sets: DataFrame, members, percent: int) -> DataFrame:
 def _split(p: DataFrame, sets: DataFrame, roots: DataFrame, members, percent: int) -> DataFrame:
     """Links (a, b) between components among the nodes of lists, by the rarest of their members."""
     nodes = p.select("node").distinct().withColumn("root", F.col("node"))
-    own = stored(sets.join(_named(nodes, roots, "root"), "node").select("node", "root", "payload"), "own")
-    return _between(stored(_prefixes(own, members, percent), "prefixes"), sets, members, percent)
+    nodes = stored(_named(nodes, roots, "root"), "left")
+    own = stored(_known(sets, nodes).join(nodes, "node"), "own")
+    return _between(stored(_prefixes(own, members, percent), "prefixes"), own, members, percent)
 
 
 def link(lists: DataFrame, sets: DataFrame, members, percent: int, way: str = "split") -> DataFrame:
@@ -296,16 +353,18 @@ def link(lists: DataFrame, sets: DataFrame, members, percent: int, way: str = "s
     if not apart.limit(1).count():
         return roots
     keys = lists.join(apart, ["hub", "node"], "left_semi").select("key").distinct()
-    among = lists.join(keys, "key", "left_semi")
-    among = among.select("key", "node").unionByName(among.select("key", F.col("hub").alias("node"))).distinct()
-    if way == "split":
-        return contracted(roots, _split(among, sets, roots, members, percent))
+    # a hub has met all of its list, so only the others are left: a list of two is done
+    among = lists.join(keys, "key", "left_semi").select("key", "node").distinct()
     p = stored(_named(among.withColumn("root", F.col("node")), roots, "root"), "among")
     sized = p.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "m")
     p = stored(p.join(sized, "key"), "sized")
+    if not p.limit(1).count():
+        return roots
+    if way == "split":
+        return contracted(roots, _split(p, sets, roots, members, percent))
     roots = contracted(roots, stored(_within(p.where(F.col("m") <= LONG), sets, members, percent), "within"))
     long = p.where(F.col("m") > LONG).select("key", "node")
     return contracted(roots, _split(long, sets, roots, members, percent)) if long.limit(1).count() else roots
 
 
-__all__ = ["MET", "contracted", "link", "met", "products", "similar", "verified"]
+__all__ = ["MET", "contracted", "link", "met", "outline", "outlines_allow", "products", "similar", "verified"]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import block_count, bloom, exchange, fresh, matched, maybe, mix, released, runs, scratch, shingles, sliced, split_blocks, stored
-from .linking import MET, link, met
+from .linking import MET, link, met, outline
 
 WIDTH, PERCENT = 3, 90
 
@@ -160,9 +160,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_column:
                 s = shingles(t.as_py(), width)
                 if node not in found and len(s) and names_of(s) == (node, proof):  # a repeated doc_id may bring other texts
                     found[node] = s
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["node", "payload"])
+            payloads, outlines = [s.tobytes() for s in found.values()], [outline(s) for s in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(payloads, pa.binary()), pa.array(outlines, pa.binary())], names=["node", "payload", "outline"])
 
-    sets = stored(base.where(wanted("doc_id")).join(left, "doc_id").select("node", "proof", "text").mapInArrow(released(second), "node long, payload binary").dropDuplicates(["node"]), "sets")
+    sets = stored(base.where(wanted("doc_id")).join(left, "doc_id").select("node", "proof", "text").mapInArrow(released(second), "node long, payload binary, outline binary").dropDuplicates(["node"]), "sets")
 
     def members(payloads: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(p, np.uint64) for p in payloads]

@@ -130,6 +130,40 @@ def test_long_lists_of_lines_lose_no_link(spark, monkeypatch):
         assert {top[t] for t in kept} == set(top.values()) and len(kept) <= len(set(top.values())) + 2
 
 
+def test_outlines_rule_out_dissimilar_sets_only():
+    r = np.random.default_rng(3)
+    ruled_out = 0
+    for n in (1, 2, 9, 40, 64, 65, 300, 5000):
+        for percent in (80, 90):
+            for off in (0, 1, n // 20, n // 9, n // 5, n // 2):
+                x = np.unique(r.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+                for y in (np.unique(np.concatenate([x[off:], r.integers(0, 1 << 64, off, np.uint64, endpoint=False)])), x[off:], np.unique(np.concatenate([x, r.integers(0, 1 << 64, off, np.uint64, endpoint=False)]))):
+                    allowed = linking.outlines_allow(linking.outline(x), linking.outline(y), percent)
+                    assert allowed or not linking.similar(x, y, percent)
+                    ruled_out += not allowed
+                    if off > 30 and 100 * (n - off) < (percent - 10) * (n + off):
+                        assert not allowed or len(x) != len(y)
+    assert ruled_out > 50
+
+
+def test_lists_of_two_and_ruled_out_pairs_send_no_sets(spark, monkeypatch):
+    r = random.Random(5)
+    names = []
+    monkeypatch.setattr(linking, "stored", lambda df, name, keep=False: names.append(name) or common.stored(df, name, keep))
+    # near copies in pairs, some tokens under the threshold: they meet in a list of their own, and are no link
+    texts = []
+    for _ in range(40):
+        w = prose(r, 300).split(" ")
+        v = list(w)
+        for at in range(10, 300, 19):
+            v[at] = "other"
+        texts += [" ".join(w), " ".join(v)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.components_of(df).collect()
+    assert all(x.component_id == x.doc_id for x in got) and len(got) == 80
+    assert "unlinked" in names and not {"own", "prefixes"} & set(names)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for percent in (90, 80):

@@ -164,6 +164,25 @@ def test_lists_of_two_and_ruled_out_pairs_send_no_sets(spark, monkeypatch):
     assert "unlinked" in names and not {"own", "prefixes"} & set(names)
 
 
+def test_pairs_of_lines_are_done_with_their_hub(spark, monkeypatch):
+    r = random.Random(9)
+    within = []
+    own = linking._within
+    monkeypatch.setattr(linking, "_within", lambda p, *a: within.append(p.groupBy("key").count().where("count < 2").count()) or own(p, *a))
+    texts = []
+    for _ in range(60):
+        w = prose(r, 14).split(" ")
+        v = list(w)
+        v[7] = "zzzzzzz"
+        texts += [" ".join(w), " ".join(v)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = lines.shingle_sets(texts)
+    alike = [linking.similar(sets[2 * i], sets[2 * i + 1], lines.PERCENT) for i in range(60)]
+    got = {x.doc_id: x.n_kept for x in lines.line_report(df).collect()}
+    assert [got[2 * i + 1] for i in range(60)] == [int(not a) for a in alike] and not all(alike)
+    assert not within
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for percent in (90, 80):

@@ -35,7 +35,7 @@ from .common import fresh, matched, scratch, sliced, stored
 
 #: Pages that a branch is taken to have beside its own, each with content of its own, and the importance below which content goes.
 PRIOR, MIN_IMPORTANCE = 4, 0.3
-#: Presentation: added for an article or main element, added times a branch's share of the page's text, and taken off less the squared share that a noise word's element holds.
+#: Presentation: added times its information for an article or main element, added times a branch's share of the page's text, and taken off less the squared share that a noise word's element holds.
 ARTICLE, SHARE, NOISE = 0.2, 0.35, 1.2
 
 _TOKEN = re.compile(
@@ -247,8 +247,10 @@ def main_text(page: str | None, known: dict[int, float], min_importance: float =
     found = parse(page)
     own = branches(found)
     total = sum(n for _, n in own.values()) or 1
-    base = {b: known.get(c, 1.0) + SHARE * n / total for b, (c, n) in own.items()}
-    return "\n".join(t for _, t in lined([b for b in found if base[b.branch] + ARTICLE * b.article - NOISE * b.noise >= min_importance]))
+    information = {b: known.get(c, 1.0) for b, (c, _) in own.items()}
+    base = {b: information[b] + SHARE * n / total for b, (_, n) in own.items()}
+    # what all pages repeat gains nothing by its article
+    return "\n".join(t for _, t in lined([b for b in found if base[b.branch] + ARTICLE * information[b.branch] * b.article - NOISE * b.noise >= min_importance]))
 
 
 def extract(pages: DataFrame, html_column: str = "html", url: str = "url", out: str = "text", prior: int = PRIOR, min_importance: float = MIN_IMPORTANCE) -> DataFrame:

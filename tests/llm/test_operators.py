@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import itertools
+import pickle
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -508,6 +510,36 @@ def test_nearest_is_exact():
     assert ix.score(toxicity.terms_of("vile nasty vile"))[0] > 0.3 > ix.score(toxicity.terms_of(prose(r, 20)))[0]
 
 
+def test_common_words_are_not_walked_place_by_place(monkeypatch):
+    r = random.Random(5)
+    texts = [toxicity.terms_of(prose(r, 60) + (" vile nasty" if k % 4 == 0 else "")) for k in range(400)]
+    ix = toxicity.Index(texts, [int(k % 4 == 0) for k in range(400)])
+    walked, spread = [], toxicity._spread
+    monkeypatch.setattr(toxicity, "_spread", lambda start, length: walked.append(int(length.sum())) or spread(start, length))
+    for t in texts[:50]:
+        ix.score(t)
+    have = Counter(w for t in texts for w in set(t))
+    assert sum(walked) < sum(have[w] for t in texts[:50] for w in set(t)) / 10
+
+
+def test_toxicity_is_the_same_alone_in_batches_and_on_arrival():
+    r = random.Random(6)
+    texts = [toxicity.terms_of(prose(r, r.choice([2, 20, 200])) + f" only{k}" + (" vile nasty" if k % 4 == 0 else "")) for k in range(300)]
+    texts += texts[:40] + [[], [b"unseen"]] + [texts[7]] * 30
+    ix = toxicity.Index(texts, [int(b"vile" in t) for t in texts], block=16)
+    full = np.zeros((len(texts), len(ix.vocabulary)))
+    for k, t in enumerate(texts):
+        ids, v = ix.vector(t)
+        full[k, ids] = v
+    there = pickle.loads(pickle.dumps(ix))
+    for t, (p, j, s), (p2, j2, s2) in zip(texts, ix.scores(texts), there.scores(iter(texts)), strict=True):
+        p1, j1, s1 = ix.score(t)
+        assert p == p1 == p2 and j.tolist() == j1.tolist() == j2.tolist() and s.tolist() == s1.tolist() == s2.tolist()
+        ids, v = ix.vector(t)
+        brute = np.round(full[:, ids] @ v, 12)
+        assert j.tolist() == [x for x in np.lexsort((np.arange(len(texts)), -brute))[: ix.k] if brute[x] > 0]
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     got = queries.op2_toxicity(spark, sf_dir.replace("0.001", "0.1")).join(spark.read.parquet(sf_dir.replace("0.001", "0.1") + "/labels.parquet"), "doc_id").where("held_out")
     n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
